@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from loomgrid.llm._shared import fold_of, table
 from loomgrid.llm.decontam import contamination
+from loomgrid.llm.langid import identify, prototypes
+from loomgrid.llm.licenses import scan_licenses
 from loomgrid.llm.linededup import dedup_lines
 from loomgrid.llm.neardup import near_duplicate_classes
 from loomgrid.llm.packing import pack
+from loomgrid.llm.topk import top_k
 from loomgrid.llm.toxicity import fit as fit_toxicity
 from loomgrid.llm.toxicity import score as score_toxicity
 
@@ -20,6 +23,17 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = F.array_sort(F.array_distinct(F.transform("licenses", lambda x: x["license"])))
+    best = F.array_max(F.transform("licenses", lambda x: x["reduction"]))
+    return found.select("doc_id", "n_candidates", F.size("licenses").cast("long").alias("n_found"), F.array_join(names, ",").alias("licenses"), best.alias("best_reduction"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -49,13 +63,28 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op4_line_dedup, op5_minhash_near_dedup, op7_toxicity, op8_decontamination, op9_best_fit_packing)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = (fold_of(F.col("doc_id")) == 0).alias("held_out")
+    return identify(docs.select("doc_id", "text"), prototypes(docs)).select("doc_id", held, "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_top_k, op3_license_scan, op4_line_dedup, op5_minhash_near_dedup, op7_toxicity, op8_decontamination, op9_best_fit_packing, op10_language_id)}
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE_SQL = {
+    "op1_exact_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5""",
     "op4_line_dedup": f"""
 WITH lines AS (
   SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i
