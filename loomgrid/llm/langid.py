@@ -4,7 +4,7 @@ Each letter has a random vector of DIMENSIONS signs. A trigram's vector binds th
 their place: rho^2(a) * rho(b) * c. A text's vector bundles (sums) those of its trigrams, and a language's prototype
 bundles those of all its training texts; a text gets the language of the prototype with the largest cosine.
 
-Letters are lower-cased; runs of other characters are one gap. ASCII letters have a code each and the others share the
+Letters are lower-cased; runs of other characters are one gap, and a text begins and ends with one. ASCII letters have a code each and the others share the
 rest of CODES by a hash, so there are CODES ** 3 trigrams. Training counts trigrams by language over all training
 texts, and bundles each language's counts in one task; a prototype for each language reaches the driver.
 
@@ -62,7 +62,7 @@ def _code_table() -> np.ndarray:
 
 def grams_in(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """doc and code of every trigram of the texts, and which texts have a letter."""
-    lowered = [(x or "").lower() for x in texts]
+    lowered = [f" {(x or '').lower()} " for x in texts]
     lengths = np.fromiter(map(len, lowered), np.int64, len(lowered))
     code = _code_table()[np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)]
     doc = np.repeat(np.arange(len(texts)), lengths)

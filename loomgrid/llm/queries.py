@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrid.llm._shared import fold_of, table
@@ -12,6 +12,7 @@ from loomgrid.llm.licenses import scan_licenses
 from loomgrid.llm.linededup import dedup_lines
 from loomgrid.llm.neardup import near_duplicate_classes
 from loomgrid.llm.packing import pack
+from loomgrid.llm.pii import PATTERNS, joined, with_spans
 from loomgrid.llm.topk import top_k
 from loomgrid.llm.toxicity import fit as fit_toxicity
 from loomgrid.llm.toxicity import score as score_toxicity
@@ -27,6 +28,16 @@ def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    base = F.filter("spans", lambda s: s["kind"] != "term")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return with_spans(docs).select("doc_id", *map(count, PATTERNS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
     names = F.array_sort(F.array_distinct(F.transform("licenses", lambda x: x["license"])))
@@ -69,7 +80,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text"), prototypes(docs)).select("doc_id", held, "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_top_k, op3_license_scan, op4_line_dedup, op5_minhash_near_dedup, op7_toxicity, op8_decontamination, op9_best_fit_packing, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_pii, op3_license_scan, op4_line_dedup, op5_minhash_near_dedup, op7_toxicity, op8_decontamination, op9_best_fit_packing, op10_language_id)}
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
