@@ -13,6 +13,7 @@ from loomgrid.llm.linededup import dedup_lines
 from loomgrid.llm.neardup import near_duplicate_classes
 from loomgrid.llm.packing import pack
 from loomgrid.llm.pii import PATTERNS, joined, with_spans
+from loomgrid.llm.quality import judge
 from loomgrid.llm.topk import top_k
 from loomgrid.llm.toxicity import fit as fit_toxicity
 from loomgrid.llm.toxicity import score as score_toxicity
@@ -54,6 +55,11 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return judge(docs, table(spark, sf_dir, "labels")).select("doc_id", "perplexity", "threshold", "keep")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
@@ -80,7 +86,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text"), prototypes(docs)).select("doc_id", held, "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_pii, op3_license_scan, op4_line_dedup, op5_minhash_near_dedup, op7_toxicity, op8_decontamination, op9_best_fit_packing, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_pii, op3_license_scan, op4_line_dedup, op5_minhash_near_dedup, op6_quality, op7_toxicity, op8_decontamination, op9_best_fit_packing, op10_language_id)}
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
