@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgrid.llm._shared import staged
+from loomgrid.llm.textcodes import slices
+from loomgrid.llm.tokens import encoder
 
 LENGTH = 2048
 END = 0
@@ -33,50 +35,11 @@ SLACK = 4
 BLOCK = 1 << 16
 GROUP = 1 << 16
 FAN_IN = 8
-#: Chunks of text whose ids a worker remembers; beyond it the worker starts anew.
-REMEMBERED = 500_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, at long"
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("bin", pa.int64()), ("at", pa.int64())])
 
 
-class Encoder:
-    """Token ids as little-endian unsigned 32-bit bytes.
-
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its chunks between white
-    space, in order; a chunk is tokenised once and remembered.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        chunks = [x.split() for x in texts]
-        missing = list(set().union(*chunks).difference(known)) if chunks else []
-        if len(known) + len(missing) > REMEMBERED:
-            known.clear()
-            missing = list(set().union(*chunks))
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            for chunk, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[chunk] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        return [b"".join(map(known.__getitem__, x)) for x in chunks]
-
-
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """One for each worker process, kept from task to task."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """Best-fit decreasing: each item's bin and its place there, and the bins' totals. Ties keep the items' order."""
     order = np.argsort(-sizes, kind="stable")
@@ -120,11 +83,12 @@ def _tokenise(path: str, capacity: int):
 
         tail = struct.pack("<I", END)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for low in range(0, len(ids), 256):
-                part = [x or "" for x in texts.slice(low, 256).to_pylist()]
-                for doc, codes in zip(ids[low : low + 256], encoder(path).encode(part), strict=True):
-                    codes += tail
+            docs, texts = batch.column(0).to_pylist(), batch.column(1)
+            for low, high in slices(texts):
+                ids, begins = encoder(path).encode(texts.slice(low, high - low))
+                whole, begins = ids.astype("<u4").tobytes(), (4 * begins).tolist()
+                for doc, first, last in zip(docs[low:high], begins[:-1], begins[1:], strict=True):
+                    codes = whole[first:last] + tail
                     for k, at in enumerate(range(0, len(codes), 4 * capacity)):
                         cut = codes[at : at + 4 * capacity]
                         held.append((doc, k, at // 4, len(cut) // 4, zlib.crc32(cut)))

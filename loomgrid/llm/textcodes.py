@@ -50,7 +50,7 @@ class Words:
 
     def heads(self, n: int) -> np.ndarray:
         """Hashes of the words' first n bytes; a shorter word's is that of the whole."""
-        return _hashed(self.prefix, self.starts, np.minimum(self.ends, self.starts + n))
+        return hashed(self.prefix, self.starts, np.minimum(self.ends, self.starts + n))
 
     @property
     def texts(self) -> int:
@@ -83,7 +83,16 @@ def slices(texts: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int]]:
         yield low, len(lengths)
 
 
-def _hashed(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def prefix_of(data: np.ndarray) -> np.ndarray:
+    """Running polynomial of the bytes, from which `hashed` takes any part."""
+    up, _ = _powers_to(len(data) + 1)
+    prefix = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=prefix[1:])
+    return prefix
+
+
+def hashed(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes of each range."""
     _, down = _powers_to(len(prefix))
     with np.errstate(over="ignore"):
         return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _LENGTH)
@@ -99,11 +108,9 @@ def words_in(texts: pa.Array) -> Words:
     begins[1:] &= ~inside[:-1] | first[1:-1]
     stops[:-1] &= ~inside[1:] | first[1:-1]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-    up, _ = _powers_to(len(data) + 1)
-    prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=prefix[1:])
+    prefix = prefix_of(data)
     doc = np.searchsorted(bounds, starts, side="right") - 1
-    return Words(data, bounds, starts, ends, _hashed(prefix, starts, ends), doc, prefix)
+    return Words(data, bounds, starts, ends, hashed(prefix, starts, ends), doc, prefix)
 
 
 def shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
