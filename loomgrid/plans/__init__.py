@@ -1 +1,5 @@
+"""Registered queries, each with the SQL that gives the same rows."""
 
+from loomgrid.plans import grids
+
+MODULES = [grids]
