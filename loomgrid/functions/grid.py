@@ -105,7 +105,7 @@ def is_not_procedure(name: Column, patterns: list[str]) -> Column:
 
 def compound_terms(name: Column) -> Column:
     """The parts of a row name such as `ICF, demographics, vital signs`, or the name alone if it is one procedure."""
-    parts = F.filter(F.transform(F.split(name, ","), F.trim), lambda t: F.length(t) >= 3)
+    parts = F.filter(F.transform(F.split(name, ","), lambda t: F.trim(t)), lambda t: F.length(t) >= 3)
     joins = F.exists(F.slice(parts, 2, 1000), lambda t: t.rlike("(?i)leading to|relevant to|and |or "))
     return F.when((F.size(parts) >= 2) & ~F.exists(parts, lambda t: F.length(t) > 60) & ~joins, parts).otherwise(F.array(name))
 

@@ -1,5 +1,5 @@
 """Registered queries, each with the SQL that gives the same rows."""
 
-from loomgrid.plans import grids
+from loomgrid.plans import graphs, grids, names
 
-MODULES = [grids]
+MODULES = [grids, names, graphs]
