@@ -1,5 +1,5 @@
 """Registered queries, each with the SQL that gives the same rows."""
 
-from loomgrid.plans import graphs, grids, names
+from loomgrid.plans import graphs, grids, names, texts
 
-MODULES = [grids, names, graphs]
+MODULES = [grids, names, graphs, texts]
