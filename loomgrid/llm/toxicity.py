@@ -2,8 +2,8 @@
 
 A sentence has the probability sigmoid(bias + sum of its features' weights); a document is toxic unless none of its
 sentences is: 1 - prod(1 - p). The likelihood of the document labels under this noisy-or trains the weights, so the
-model finds the offending sentences itself. Features are the sentence's distinct words and their first letters, hashed
-into FEATURES weights of fixed size.
+model finds the offending sentences itself. Features are the sentence's words and their first letters, hashed into FEATURES
+weights of fixed size.
 
 Training takes a bounded sample of labelled rows: at most SAMPLE a class, in the order of a hash of doc_id, of at most
 SAMPLE_LENGTH characters. Scoring reads every whole text in one pass, without a shuffle.
@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgrid.llm._shared import fold_of
+from loomgrid.llm._shared import fold_of, staged
 from loomgrid.llm.textcodes import Words, slices, words_in
 
 FEATURES = 1 << 18
 HEADS = (3, 4, 5)
-SAMPLE = 6000
+SAMPLE = 3000
 SAMPLE_LENGTH = 20_000
 ROUNDS = 150
 RATE = 0.1
@@ -52,11 +52,10 @@ def sentences(words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def features(words: Words, sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs of a sentence and a feature."""
+    """A sentence and a feature for each word and each of its heads."""
     shift = np.uint64(64 - FEATURES.bit_length() + 1)
     found = [words.hashes >> shift] + [(words.heads(n) * np.uint64(2 * n + 1)) >> shift for n in HEADS]
-    pairs = np.unique(np.concatenate([sentence.astype(np.uint64) * np.uint64(FEATURES) + x for x in found]))
-    return (pairs // np.uint64(FEATURES)).astype(np.int64), (pairs % np.uint64(FEATURES)).astype(np.int64)
+    return np.tile(sentence, len(found)), np.concatenate(found).astype(np.int64)
 
 
 @dataclass
@@ -72,30 +71,51 @@ def noisy_or(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return -np.expm1(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n))
 
 
-def train(texts: list[str], labels: np.ndarray) -> Model:
-    """Proximal Adam on the likelihood of the labels under the noisy-or, over the whole sample in each round."""
+def _features_of(texts: pa.Array, common: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By slice of texts: each sentence's text, and pairs of a sentence and a feature (of the common ones)."""
+    n_sentences = 0
+    for low, high in slices(texts):
+        words = words_in(texts.slice(low, high - low))
+        sentence, doc = sentences(words)
+        owner, feature = features(words, sentence)
+        if common is not None:
+            owner, feature = owner[common[feature]], feature[common[feature]]
+        yield (doc + low).astype(np.int32), (owner + n_sentences).astype(np.int32), feature.astype(np.int32)
+        n_sentences += len(doc)
+
+
+def train(texts: pa.Array, labels: np.ndarray, shares: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """Proximal Adam on the likelihood of the labels under the noisy-or, over the whole sample in each round.
+
+    shares: how many labelled documents a sampled one stands for, by label. The texts are read twice, first for the
+    features' document counts, so only those of common features are held.
+    """
     model = Model(np.zeros(FEATURES), -4.0)
-    words = words_in(pa.array(texts, pa.string()))
-    sentence, doc = sentences(words)
-    owner, feature = features(words, sentence)
-    if not len(doc) or len(set(labels.tolist())) < 2:
+    counts, n_sentences = np.zeros(FEATURES, np.int32), 0
+    for doc, owner, feature in _features_of(texts):
+        first = doc[0] if len(doc) else 0
+        own = doc[owner - n_sentences].astype(np.int64) - first
+        counts += np.bincount(np.unique(own * FEATURES + feature) % FEATURES, minlength=FEATURES).astype(np.int32)
+        n_sentences += len(doc)
+    if not n_sentences or len(set(labels.tolist())) < 2:
         model.bias = -60.0 if not labels.any() else model.bias
         return model
+    doc, owner, feature = (np.concatenate(x) for x in zip(*_features_of(texts, counts >= LEAST), strict=True))
     n = len(texts)
     y = labels.astype(float)
-    held = np.unique(doc[owner] * FEATURES + feature) % FEATURES
-    common = np.bincount(held, minlength=FEATURES)[feature] >= LEAST
-    owner, feature = owner[common], feature[common]
+    weight = np.where(labels == 1, shares[1], shares[0])
+    weight = weight / weight.sum()
     used = np.unique(feature)
-    column = np.searchsorted(used, feature)
+    column = np.searchsorted(used, feature).astype(np.int32)
+    del feature
     value, moment, square = np.zeros(len(used) + 1), np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     value[-1] = model.bias
     for step in range(1, ROUNDS + 1):
         z = value[-1] + np.bincount(owner, value[column], minlength=len(doc))
         p = np.clip(1 / (1 + np.exp(-np.clip(z, -60, 60))), 1e-12, 1 - 1e-9)
         none = np.exp(np.bincount(doc, np.log1p(-p), minlength=n))
-        pull = ((1 - y) - y * none / np.maximum(1 - none, 1e-9))[doc] * p
-        slope = np.append(np.bincount(column, pull[owner], minlength=len(used)), pull.sum()) / n
+        pull = (weight * ((1 - y) - y * none / np.maximum(1 - none, 1e-9)))[doc] * p
+        slope = np.append(np.bincount(column, pull[owner], minlength=len(used)), pull.sum())
         moment, square = 0.9 * moment + 0.1 * slope, 0.99 * square + 0.01 * slope * slope
         pace = RATE / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
         value -= pace * moment / (1 - 0.9**step)
@@ -109,14 +129,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     marked = labels.where(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("label")).where(fold_of(F.col("doc_id")) != 0)
     texts = docs.select("doc_id", "text").where((F.length("text") <= SAMPLE_LENGTH) & (fold_of(F.col("doc_id")) != 0))
     order = F.xxhash64("doc_id", F.lit("toxicity"))
-    chosen = []
+    candidates = staged(texts.select("doc_id").join(marked, "doc_id").distinct(), "labelled")
+    chosen, shares = [], []
     for label in (0, 1):
-        ids = texts.select("doc_id").join(marked.where(F.col("label") == label), "doc_id").select("doc_id").distinct().orderBy(order, "doc_id").limit(sample)
-        chosen.append([r[0] for r in ids.collect()])
+        own = candidates.where(F.col("label") == label)
+        chosen.append([r[0] for r in own.orderBy(order, "doc_id").limit(sample).collect()])
+        shares.append(own.count() / max(1, len(chosen[-1])))
     wanted = docs.sparkSession.createDataFrame([(x, y) for y, ids in enumerate(chosen) for x in ids], "doc_id long, label int")
-    rows = texts.join(F.broadcast(wanted), "doc_id").toPandas()  # at most 2 * sample rows
-    rows = rows.sort_values(["doc_id", "label", "text"])
-    return train(rows["text"].tolist(), rows["label"].to_numpy())
+    rows = texts.join(F.broadcast(wanted), "doc_id").toArrow()  # at most 2 * sample rows of SAMPLE_LENGTH characters
+    rows = rows.sort_by([("doc_id", "ascending"), ("label", "ascending"), ("text", "ascending")])
+    return train(rows.column("text").combine_chunks(), rows.column("label").to_numpy(), tuple(shares))
 
 
 def _score(shared, schema: pa.Schema, at: int):
