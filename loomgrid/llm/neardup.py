@@ -7,7 +7,7 @@
    weights is sum of min(tf, tf') idf, so similarity is the weighted Jaccard similarity of TF-IDF vectors.
 3. Samples. Improved consistent weighted sampling (r and c from Gamma(2, 1), b uniform, drawn by the element) gives
    BANDS * ROWS samples a text; two texts share a sample with a probability of their similarity. idf takes LEVELS
-   values, so the draws are tables: by sample, level and 16 bits of the element's hash. An element's weight is the
+   values, so the draws are tables: by sample, level and 14 bits of the element's hash. An element's weight is the
    same in all texts, so a sample's second part never tells two texts apart and is left out.
 4. Bands. Texts that share all samples of a band meet. In each meeting, the smallest id leads; a member that agrees
    with a leader in half the samples or more is paired with it, and others become leaders. This happens first within
@@ -42,7 +42,7 @@ SAMPLES = BANDS * ROWS
 WIDTH, DEPTH = 1 << 16, 2
 RARE = 0.002
 LEVELS = 16
-ENTRIES = 1 << 16
+ENTRIES = 1 << 14
 #: Texts whose bands a task holds before it lets its leaders go.
 HELD = 1 << 15
 ALIKE = 0.5
@@ -151,7 +151,7 @@ def samples(doc: np.ndarray, element: np.ndarray, level: np.ndarray) -> tuple[np
     low = element & np.uint64(0xFFFFFFFF)
     for k, drawn in enumerate(_drawn()):
         with np.errstate(over="ignore"):
-            entry = ((element * _SEEDS[100 + k]) >> np.uint64(48)).astype(np.int64)
+            entry = ((element * _SEEDS[100 + k]) >> np.uint64(50)).astype(np.int64)
         a = drawn.reshape(-1)[at + entry].astype(np.uint64)
         out[:, k] = (np.minimum.reduceat((a << np.uint64(32)) | low, first) & np.uint64(0xFFFFFFFF)).astype(np.uint32) if len(first) else 0
     return doc[first], out

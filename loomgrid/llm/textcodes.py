@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 from loomgrid.llm.mphf import mix
 
-SLICE = 2 << 20
+SLICE = 1 << 20
 _BASE = np.uint64(0x100000001B3)
 _INVERSE = np.uint64(pow(0x100000001B3, -1, 1 << 64))
 _LENGTH = np.uint64(0x9E3779B97F4A7C15)
