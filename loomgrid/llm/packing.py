@@ -129,7 +129,7 @@ def merge_bins(bins: DataFrame, capacity: int, slack: int) -> DataFrame:
         if moves is None:
             moves = moved
         else:
-            later = moved.withColumnsRenamed({"bin": "into", "into": "last", "shift": "more"})
+            later = moved.select(F.col("bin").alias("into"), F.col("into").alias("last"), F.col("shift").alias("more"))
             moves = staged(
                 moves.join(later, "into", "left").select("bin", F.coalesce("last", "into").alias("into"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift")), "bin-moves"
             )
