@@ -259,7 +259,7 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin
     rows = docs.withColumn("__key", F.xxhash64("text")).withColumn("__lang", F.coalesce("lang", F.lit("")))
     held = rows.where(fold_of(F.col("doc_id")) == 0).join(small(ids, n_ids, BROADCAST_IDS), "doc_id", "left_semi").select("doc_id", "__key", "__lang")
     seen = held.join(scored.where("__ppl IS NOT NULL"), [held["doc_id"] == scored["__doc"], held["__key"] == scored["__th"]])
-    less = F.exp(-ALLOWANCE / F.sqrt("__n"))
+    less = F.exp(-ALLOWANCE / F.sqrt(F.greatest("__n", F.lit(1))))
     limit = F.percentile_approx(F.col("__ppl") * less, quantile, 10_000) * margin
     by_lang = staged(seen.where("__lang <> ''").groupBy("__lang").agg(limit.alias("__limit")), "thresholds")
     overall = seen.agg(limit).first()[0]
