@@ -1,7 +1,7 @@
 """License scans by conditional compression.
 
-Blocks (lines) that have a license word are candidates. Each is compressed as it is and with every template as a raw
-zstandard dictionary; the template with the largest relative reduction is the likeliest source. The best few are then
+Blocks (lines) that have a license word are candidates. The words of each are compressed alone and with every template as
+a raw zstandard dictionary; the template with the largest relative reduction is the likeliest source. The best few are then
 confirmed by wording: the words of block and template are aligned, and the template wins whose words the block has in
 order up to the allowed share of differences. The differences themselves are part of the result.
 
@@ -45,7 +45,7 @@ TEMPLATES = {
     "All-rights-reserved": "All rights reserved.",
 }
 #: Words that make a line a candidate (fixed pattern).
-TRIGGER = r"(?i)licen[cs]e|copyright|rights reserved|permission|redistribut|public domain|free software"
+TRIGGER = r"(?i)licen[cs]e|copyright|rights\s+reserved|permission|redistribut|public\s+domain|free\s+software"
 BEST = 3
 DIFFERENCES = 0.2
 #: The window of words that is aligned is a few words longer than the template.
@@ -74,12 +74,12 @@ class Scanner:
         self.names = list(templates)
         self.words = {n: words(t) for n, t in templates.items()}
         self.primed = {
-            n: zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for n, t in templates.items()
+            n: zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for n, w in self.words.items()
         }
 
-    def reductions(self, block: str) -> list[tuple[float, str]]:
-        """The templates by how much they shorten the compressed block, the largest relative reduction first."""
-        data = block.encode("utf-8", "surrogatepass")
+    def reductions(self, block: list[str]) -> list[tuple[float, str]]:
+        """The templates by how much they shorten the compressed words of a block, the largest relative reduction first."""
+        data = " ".join(block).encode("utf-8", "surrogatepass")
         alone = len(self.plain.compress(data))
         found = [((alone - len(self.primed[n].compress(data))) / alone, n) for n in self.names]
         return sorted(found, key=lambda x: (-x[0], self.names.index(x[1])))
@@ -104,7 +104,7 @@ class Scanner:
     def scan(self, block: str) -> Find | None:
         own = words(block)
         confirmed = []
-        for rank, (reduction, name) in enumerate(self.reductions(block)[:BEST]):
+        for rank, (reduction, name) in enumerate(self.reductions(own)[:BEST]):
             if reduction > 0 and (found := self.wording(own, name)) is not None:
                 confirmed.append((len(found[0]) + len(found[1]) - len(self.words[name]), rank, Find(name, reduction, *found)))
         return min(confirmed, key=lambda x: x[:2])[2] if confirmed else None
