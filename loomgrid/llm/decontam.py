@@ -89,7 +89,7 @@ def alignments(docs: DataFrame, benchmark: DataFrame, size: int, anchors: int) -
     placed = items.select("part", F.posexplode("words").alias("q", "term"))
     anchored = staged(windows.select("part", F.explode("at").alias("q")).distinct().join(placed, ["part", "q"]), "bench-anchors")
     index = postings_of(docs, anchored.select("term").distinct(), n_terms)
-    lists = index.join(small(anchored, n_windows * anchors, BROADCAST_TERMS), "term").where(F.col("pos") >= F.col("q"))
+    lists = index.join(small(anchored, n_windows * anchors, BROADCAST_TERMS), "term")
     meeting = lists.groupBy("doc_id", "th", "part", (F.col("pos") - F.col("q")).alias("diag")).agg(F.collect_set("q").alias("there"))
     of_item = windows.groupBy("part").agg(F.collect_list(F.struct("start", "len", "at")).alias("windows")).join(items, "part")
     met = F.filter("windows", lambda w: F.size(F.array_except(w["at"], F.col("there"))) == 0)
@@ -109,7 +109,11 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, an
     texts = rows.join(candidates.hint("shuffle_hash"), [rows["doc_id"].eqNullSafe(F.col("__doc")), rows["th"] == F.col("__th")])
 
     def exact(words: Column, c: Column) -> Column:
-        same = F.filter(c["met"], lambda w: F.slice(words, c["diag"] + w["start"] + 1, w["len"]) == F.slice(c["words"], w["start"] + 1, w["len"]))
+        def is_same(w: Column) -> Column:
+            first = c["diag"] + w["start"]  # a text may begin within the item, so diag may be below 0
+            return (first >= 0) & (F.slice(words, F.greatest(first, F.lit(0)) + 1, w["len"]) == F.slice(c["words"], w["start"] + 1, w["len"]))
+
+        same = F.filter(c["met"], is_same)
         return F.transform(same, lambda w: F.struct(c["item_id"].alias("item_id"), (c["diag"] + w["start"]).alias("start"), w["len"].alias("length")))
 
     # The outer array has one element, the document's words: they are then split once, not once for each candidate.
