@@ -1,0 +1,361 @@
+"""Each operator against a brute-force version or an exact round trip, on small fixtures."""
+
+import random
+import re
+import struct
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from loomgrid.llm import decontam, langid, licenses, linededup, neardup, packing, pii, quality, topk, toxicity
+from loomgrid.llm.mphf import PerfectHash
+from loomgrid.llm.queries import tokenizer_path
+from loomgrid.llm.textcodes import shingles, words_in
+from loomgrid.llm.tokens import Encoder
+
+DOCS = "doc_id long, text string"
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def lower(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+
+
+def words(text):
+    return WORD.findall(lower(text))
+
+
+def rng_words(rng, n):
+    return [rng.choice("abcdefghij") + rng.choice("klmnop") + rng.choice("qrstuvwxyz") + rng.choice("aeiou") for _ in range(n)]
+
+
+def test_words_match_the_pattern():
+    texts = ["Hello, World 42", "", None, "é—ü A-b", "x" * 50 + " y", "don't  stop\n\nnow", "tail"]
+    found = words_in(pa.array(texts))
+    got = defaultdict(list)
+    for d, a, b in zip(found.doc, found.starts, found.ends, strict=True):
+        got[int(d)].append(found.data[a:b].tobytes().decode())
+    assert [got[i] for i in range(len(texts))] == [words(t) for t in texts]
+    assert len(set(found.hashes.tolist())) == len({w for t in texts for w in words(t)})
+
+
+def test_short_texts_are_one_shingle():
+    doc, value = shingles(words_in(pa.array(["a b c", "a b c", "a b", "", "a b c d e f"])), 5)
+    assert doc.tolist() == [0, 1, 2, 4, 4] and value[0] == value[1] != value[2]
+
+
+def test_perfect_hash_round_trip():
+    rng = np.random.default_rng(1)
+    high, low = rng.integers(0, 2**63, 5000, dtype=np.uint64), rng.integers(0, 2**63, 5000, dtype=np.uint64)
+    high[:2500] = high[0]  # only the second half tells these apart
+    p = PerfectHash.from_bytes(PerfectHash.build(high, low).to_bytes())
+    assert sorted(p.index(high, low).tolist()) == list(range(5000))
+
+
+def test_op1_against_all_products(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(i), (rng.normal(size=8) * rng.choice([0.1, 1, 3])).tolist()) for i in range(400)]
+    rows += [(400, None), (401, [1.0, float("nan")] + [0.0] * 6), (402, [1.0, None] + [0.0] * 6), (450, rows[3][1]), (451, rows[3][1]), (500, []), (550, [0.0] * 8), (3, rows[3][1])]
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0)
+    usable = {i: np.floor(256 * np.array((v + [0.0] * 8)[:8])).astype(np.int64) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    want = []
+    for q in sorted(usable):
+        if q % 50 == 0:
+            best = sorted((-int(usable[q] @ v), i) for i, v in usable.items() if i != q)[:5]
+            want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+    assert sorted(map(tuple, found.collect())) == want
+
+
+@pytest.mark.parametrize("scale", [1.0, 0.01])
+def test_op1_pruning_keeps_all_of_a_bucket(scale):
+    """Thresholds that are just reached, for high and low cosines."""
+    rng = np.random.default_rng(5)
+    v = np.floor(rng.normal(size=(300, 16)) * 256 * scale).astype(np.int64)
+    q = v[:20] + rng.integers(-1, 2, (20, 16))
+    score = q @ v.T
+    floors = np.sort(score, axis=1)[:, -5].astype(float)
+    a, b, s = topk.search_bucket(q, np.arange(1000, 1020), floors, v, np.arange(300), 5)
+    want = {(1000 + i, int(j), int(score[i, j])) for i in range(20) for j in np.lexsort((np.arange(300), -score[i]))[:5]}
+    assert set(zip(a.tolist(), b.tolist(), s.tolist(), strict=True)) == want
+
+
+PII = [
+    "mail a.b+c@x-y.co.uk, then a@b.c_d@e.f; 1.2.3.4.5.6.7.8 and 256.1.1.1 10.0.0.255", "card 4111 1111 1111 1111 or 4111-1111-1111-1112 and 79927398713 0000000000000", "+1 (415) 555-2671, +44.20.7946.0958 and +12 34", "é" * 5 + "ü@ x@y z@w.de 😀 +33 1 23 45 67 89",
+    "", None, "no data", "12345678901234567890123 1 2 3 4 5 6 7 8 9 0 1 2", "@@ a@b..c .@d.e +", "1..2.3.4.5", "a@b.c@d.e.f",
+]
+PLAIN = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
+
+
+def luhn(d):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def base_spans(text):
+    out = []
+    for rank, (kind, pattern) in enumerate(PLAIN):
+        for m in re.finditer(pattern, text or ""):
+            d = re.sub("[^0-9]", "", m.group())
+            ok = {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in m.group().split(".")), "card": 12 <= len(d) <= 19 and luhn(d), "phone": 9 <= len(d) <= 15}[kind]
+            if ok:
+                out.append((m.start(), rank, m.end(), kind))
+    return sorted(out)
+
+
+def test_op2_base_spans(spark):
+    docs = spark.createDataFrame(list(enumerate(PII)), DOCS)
+    got = {r["doc_id"]: [(s["start"], s["end"], s["kind"]) for s in r["spans"] if s["kind"] != "term"] for r in pii.with_spans(docs).collect()}
+    assert got == {i: [(a, b, k) for a, _, b, k in base_spans(t)] for i, t in enumerate(PII)}
+
+
+def test_op2_terms_that_disclose(spark):
+    docs = [(i, f"the quokka{i % 2} wrote from secret{i}@x.org") for i in range(2)]
+    docs += [(10 + i, "the zanzibar office writes from boss@corp.org today") for i in range(4)] + [(100 + i, "the office is open and someone writes today") for i in range(60)]
+    out = {r["doc_id"]: r for r in pii.sanitise(spark.createDataFrame(docs, DOCS)).collect()}
+    told = {docs[4][1][s["start"] : s["end"]] for s in out[12]["spans"] if s["kind"] == "term"}
+    assert "zanzibar" in told and not told & {"the", "office", "writes", "today"}
+    assert "zanzibar" not in out[12]["text"] and "[EMAIL]" in out[12]["text"] and out[12]["text"].startswith("the ")
+    assert [s["kind"] for s in out[0]["spans"]] == ["email"] and out[100]["text"] == docs[-1][1]
+
+
+def test_op3_finds_and_confirms(spark):
+    docs = [
+        (1, "words\nReleased under the MIT License.\nmore"), (2, "This work is licensed under the GNU General Public License, version 3."), (3, "This work is licensed under the GNU Affero General Public License, version 3."),
+        (4, "a license to practise medicine was granted by the board"), (5, "plain"), (6, "All  rights   reserved"), (7, None), (8, ""),
+    ]
+    got = {r["doc_id"]: [(x["line"], x["license"]) for x in r["licenses"]] for r in licenses.scan_licenses(spark.createDataFrame(docs, DOCS)).collect()}
+    assert got == {1: [(1, "MIT")], 2: [(0, "GPL-3.0")], 3: [(0, "AGPL-3.0")], 4: [], 5: [], 6: [(0, "All-rights-reserved")], 7: [], 8: []}
+    found = licenses.Scanner().scan("This work is licenced under the GNU General Public License, version 3")
+    assert found.license == "GPL-3.0" and found.missing == ["licensed"] and found.extra == ["licenced"] and found.reduction > 0.3
+
+
+def test_op4_against_brute_force(spark):
+    rng = random.Random(4)
+    pool = [f"A repeated line number {i}" for i in range(30)] + ["short", "", "  Padded Line Here \t"]
+    docs = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.5 else f"own {i} {rng.random()}" for _ in range(rng.randint(1, 8)))) for i in range(200)]
+    docs += [(300, "twice only here\ntwice only here"), (301, None), (302, ""), (303, "PADDED LINE HERE"), (None, pool[0])]
+    key = lambda x: lower(x.strip(linededup.BLANKS))
+    owners = defaultdict(set)
+    for i, t in docs:
+        if i is not None:
+            for x in (t or "").split("\n"):
+                if len(key(x)) >= 10:
+                    owners[key(x)].add(i)
+    want = {}
+    for i, t in docs:
+        rows = (t or "").split("\n")
+        kept = [x for x in rows if i is None or len(owners.get(key(x), ())) < 2 or min(owners[key(x)]) == i]
+        want[i] = (len(rows), len(rows) - len(kept), "\n".join(kept))
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"] or "") for r in linededup.dedup_lines(spark.createDataFrame(docs, DOCS)).collect()}
+    assert got == want
+
+
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (words(a), words(b)))
+    return len(a & b) / len(a | b)
+
+
+def test_op5_links_near_copies_only(spark):
+    rng = random.Random(5)
+    docs, next_id = [], 0
+    for _ in range(40):
+        base = rng_words(rng, 200)
+        for copy in range(rng.randint(1, 6)):
+            own = list(base)
+            for _ in range(min(copy, 2)):
+                own[rng.randrange(200)] = "edited" + str(rng.random())[2:6]
+            docs.append((next_id, " ".join(own)))
+            next_id += 1
+    group = rng_words(rng, 120)
+    docs += [(1000 + i, " ".join(group[:60] + [f"v{i}"] + group[60:])) for i in range(150)]
+    docs += [(2000, "short text"), (2001, "short text"), (2002, ""), (2003, ""), (2004, None), (2005, "!!!")]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicate_classes(spark.createDataFrame(docs, DOCS)).collect()}
+    parent = {i: i for i, _ in docs}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k, (i, a) in enumerate(docs):
+        for j, b in docs[:k]:
+            if words(a) and words(b) and jaccard(a, b) >= 0.8:
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    assert got == {i: find(i) for i, _ in docs}
+
+
+def test_op5_components_of_a_chain(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 40), (40, 60)], "a long, b long")
+    got = {r["doc_id"]: r["class_id"] for r in neardup.components(links).collect()}
+    assert got == {**dict.fromkeys(range(1, 31), 0), 50: 40, 60: 40}
+
+
+def test_op6_probabilities_sum_to_one_and_junk_is_told_apart(spark):
+    rng = random.Random(6)
+    clean = [(i, " ".join(rng_words(rng, 60)), "en") for i in range(300)]
+    junk = [(1000 + i, "".join(rng.choice("!#$%&XQZ") for _ in range(300)), "en") for i in range(20)]
+    odd = [(2000, None, None), (2001, "abc", "en"), (2002, "", "xx"), (2003, clean[0][1], None)]
+    labels = [(i, 1, 0) for i, _, _ in clean] + [(i, 0, 0) for i, _, _ in junk]
+    docs = spark.createDataFrame(clean + junk + odd, "doc_id long, text string, lang string")
+    out = {r["doc_id"]: r for r in quality.judge(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert not any(out[1000 + i]["keep"] for i in range(20))
+    assert sum(out[i]["keep"] for i, _, _ in clean) >= 297
+    assert out[2000]["perplexity"] is None and all(out[i]["keep"] for i in (2000, 2001, 2002, 2003))
+    grams, contexts = quality.model_tables(quality.count_tables(docs.where("doc_id < 300")))
+    shard = next(quality.shards_of(grams, contexts))
+    context = int.from_bytes(clean[0][1].encode()[:4], "big") << 8
+    for c in (context, int.from_bytes(b"zz!!", "big") << 8):
+        assert np.exp(shard.log_p(c + np.arange(256, dtype=np.int64))).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_op6_shards_give_the_whole_models_scores(spark, monkeypatch):
+    rng = random.Random(7)
+    docs = spark.createDataFrame([(i, " ".join(rng_words(rng, 40))) for i in range(50)], DOCS)
+    one = {r["doc_id"]: r["perplexity"] for r in quality.perplexities(docs, docs).collect()}
+    monkeypatch.setattr(quality, "SHARD_ROWS", 5000)
+    more = {r["doc_id"]: r["perplexity"] for r in quality.perplexities(docs, docs).collect()}
+    assert more == pytest.approx(one, rel=1e-6)
+
+
+def test_op7_learns_sentences_from_document_labels(spark):
+    rng = random.Random(8)
+    docs, labels = [], []
+    for i in range(600):
+        sentences = [" ".join(rng_words(rng, 8)) + "." for _ in range(5)]
+        toxic = i % 4 == 0
+        if toxic:
+            sentences[2] = f"{rng.choice(['you', 'he'])} {rng.choice(['vilest', 'vilexa', 'badword'])} thing."
+        docs.append((i, " ".join(sentences)))
+        labels.append((i, 1, int(toxic)))
+    docs += [(1000, None), (1001, ""), (1002, "...")]
+    frame = spark.createDataFrame(docs, DOCS)
+    out = {r["doc_id"]: r for r in toxicity.score(frame, toxicity.fit(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))).collect()}
+    held = [i for i in range(600) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sum((out[i]["score"] >= 0.5) == (i % 4 == 0) for i in held) >= 0.98 * len(held)
+    assert all(out[i]["score"] == 0 for i in (1000, 1001, 1002))
+    text = dict(docs)[0]
+    assert [text[s["start"] : s["end"]].split()[-1] for s in out[0]["offending"]] == ["thing"]
+
+
+def windows(item):
+    w = words(item)
+    return {tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9))} if w else set()
+
+
+def test_op8_against_brute_force(spark):
+    rng = random.Random(9)
+    vocab = rng_words(rng, 60)
+    say = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    items = [(i, say(rng.randint(10, 30))) for i in range(15)] + [(20, "Alpha beta"), (21, "rareword"), (22, ""), (23, None), (24, "the the the the the the the the the the the"), (3, say(12))]
+    docs = []
+    for i in range(120):
+        parts = [say(rng.randint(0, 20)) for _ in range(3)]
+        if rng.random() < 0.5:
+            w = words(rng.choice(items[:15])[1])
+            k = rng.randrange(len(w))
+            parts.insert(1, " ".join(w[k : k + rng.randint(5, 20)]).upper())
+        docs.append((i, " ".join(parts)))
+    docs += [(200, "x alpha, BETA y alpha beta"), (201, None), (202, ""), (203, "rareword"), (204, "the " * 30), (205, "the " * 9), (0, docs[0][1]), (0, "rareword twice rareword"), (None, "rareword")]
+    want = Counter()
+    for i, t in docs:
+        w, hit, found = words(t), set(), set()
+        for item, text in items:
+            for win in windows(text):
+                for k in range(len(w) - len(win) + 1):
+                    if tuple(w[k : k + len(win)]) == win:
+                        hit |= set(range(k, k + len(win)))
+                        found.add(str(item))
+        want[i, len(w), len(hit), ",".join(sorted(found)), bool(hit)] += 1
+    out = decontam.contamination(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string"))
+    assert Counter((r["doc_id"], r["n_words"], r["n_hit"], ",".join(r["items"]), r["contaminated"]) for r in out.collect()) == want
+
+
+def test_op8_shuffled_joins_give_the_same(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k l"), (2, "nothing")], DOCS)
+    bench = spark.createDataFrame([(7, "b c d e f g h i j k")], "item_id long, text string")
+    monkeypatch.setattr(decontam, "BROADCAST_TERMS", 0)
+    assert [(r["doc_id"], r["n_hit"]) for r in decontam.contamination(docs, bench).orderBy("doc_id").collect()] == [(1, 10), (2, 0)]
+
+
+def test_op8_proximity(spark):
+    docs = spark.createDataFrame([(1, "uno zz zz due"), (2, "due uno"), (3, "uno " + "zz " * 20 + "due")], DOCS)
+    bench = spark.createDataFrame([(7, "uno due")], "item_id long, text string")
+    assert [r["doc_id"] for r in decontam.proximity_matches(docs, bench).collect()] == [1]
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer_path())
+
+
+def test_op9_ids_are_the_tokenizers(tokenizer):
+    rng = random.Random(10)
+    bits = ["a", "B", "é", "É", "ß", "'", "s", "'s", " ", "\n", "—", "3", "42", ".", ",", "<|", "|>", "<|endoftext|>", "́", "中", "İ", "don't", "ǅ", "×", "\x1c", "\x85", "٣", "😀", "THE", "ª", "²"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(3000)] + [None, "", "word " * 5000]
+    ids, begins = Encoder(tokenizer_path()).encode(pa.array(texts))
+    for i, t in enumerate(texts):
+        assert ids[begins[i] : begins[i + 1]].tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids, repr(t)
+
+
+def test_op9_round_trip(spark, tokenizer):
+    rng = random.Random(11)
+    docs = [(i, " ".join(rng_words(rng, rng.choice([0, 3, 50, 300, 900, 2500])))) for i in range(120)] + [(500, None), (501, ""), (500, "again")]
+    rows = packing.pack(spark.createDataFrame(docs, DOCS), tokenizer_path()).collect()
+    want = Counter()
+    for i, t in docs:
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [0]
+        for k, at in enumerate(range(0, len(ids), 2048)):
+            cut = ids[at : at + 2048]
+            want[i, k, at, len(cut), zlib.crc32(struct.pack(f"<{len(cut)}I", *cut))] += 1
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == want
+    sequences = defaultdict(list)
+    for r in rows:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    flat = packing.best_fit(np.array([r["length"] for r in rows]), 2048)[2]
+    assert len(sequences) <= len(flat) + 1
+
+
+def test_op9_rounds_over_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 20)
+    rng = random.Random(12)
+    bins = spark.createDataFrame([(i, rng.randint(1, 2000)) for i in range(500)], "bin long, total long")
+    moves = packing.merge_bins(bins, 2048, 4)
+    total = dict(map(tuple, bins.collect()))
+    ends = defaultdict(list)
+    for r in moves.collect():
+        ends[r["into"]].append((r["shift"], total.pop(r["bin"])))
+    for parts in ends.values():
+        at = 0
+        for shift, size in sorted(parts):
+            assert shift == at
+            at += size
+        assert at <= 2048
+
+
+def test_op10_held_out_accuracy(spark):
+    rng = random.Random(13)
+    letters = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "äöüßabcd"}
+    docs = [(i, " ".join("".join(rng.choice(s) for _ in range(5)) for _ in range(30)), lang) for i, (lang, s) in enumerate(list(letters.items()) * 60)]
+    docs += [(900, None, "aa"), (901, "12 !", None), (902, docs[0][1], None), (903, "", "bb")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    out = {r["doc_id"]: r for r in langid.identify(frame.select("doc_id", "text"), langid.prototypes(frame)).collect()}
+    assert all(out[i]["lang_pred"] == lang for i, _, lang in docs[:180])
+    assert [out[i]["lang_pred"] for i in (900, 901, 902, 903)] == ["und", "und", "aa", "und"]
+    assert all(0 <= r["score"] <= 1 for r in out.values()) and out[900]["score"] == 0
+
+
+def test_op10_vectors_are_bound_and_permuted():
+    v = langid.letter_vectors()
+    gram = np.array([(3 * 64 + 5) * 64 + 7])
+    assert (langid.gram_vectors(gram)[0] == np.roll(v[3], 2) * np.roll(v[5], 1) * v[7]).all()
