@@ -1,5 +1,5 @@
 """Registered queries, each with the SQL that gives the same rows."""
 
-from loomgrid.plans import graphs, grids, names, ranges, texts
+from loomgrid.plans import graphs, grids, names, ranges, rules, texts
 
-MODULES = [grids, names, graphs, texts, ranges]
+MODULES = [grids, names, graphs, texts, ranges, rules]
