@@ -155,17 +155,27 @@ def document_frequencies(docs: DataFrame, terms: DataFrame, n_terms: int) -> Dat
     return every.groupBy("term").agg(F.count("*").alias("f")).join(terms, "term")
 
 
+def _share(n: int, f_t: Column) -> Column:
+    return F.log(n * F.col("f_et") / (F.col("f_e") * f_t)) / F.log(n / F.col("f_e"))
+
+
 def disclosures(docs: DataFrame, near: DataFrame) -> DataFrame:
-    """entity, term, share: terms that disclose at least the share GENERALISE of an entity's information."""
+    """entity, term, share: terms that disclose at least the share GENERALISE of an entity's information.
+
+    A term is in at least as many documents as it is in contexts of. Pairs that fall short of the share even with that
+    number are left out first, so only the others' terms are counted over all documents.
+    """
     n = docs.count()
-    pairs = near.select("entity", "term", "doc_id", "th").distinct().groupBy("entity", "term").agg(F.count("*").alias("f_et")).where(F.col("f_et") >= SUPPORT)
-    pairs = staged(pairs, "entity-terms")
-    of_entity = near.select("entity", "doc_id", "th").distinct().groupBy("entity").agg(F.count("*").alias("f_e"))
-    terms = staged(pairs.select("term").distinct(), "disclosing-terms")
+    distinct = near.select("entity", "term", "doc_id", "th").distinct()
+    pairs = distinct.groupBy("entity", "term").agg(F.count("*").alias("f_et")).where(F.col("f_et") >= SUPPORT)
+    of_entity = near.select("entity", "doc_id", "th").distinct().groupBy("entity").agg(F.count("*").alias("f_e")).where(F.col("f_e") < n)
+    in_contexts = near.select("term", "doc_id", "th").distinct().groupBy("term").agg(F.count("*").alias("f_near"))
+    hopeful = pairs.join(of_entity, "entity").join(in_contexts, "term").where(_share(n, F.col("f_near")) >= GENERALISE)
+    hopeful = staged(hopeful, "entity-terms")
+    terms = staged(hopeful.select("term").distinct(), "disclosing-terms")
     of_term = document_frequencies(docs, terms, terms.count())
-    share = F.log(n * F.col("f_et") / (F.col("f_e") * F.greatest("f", "f_et"))) / F.log(n / F.col("f_e"))
-    scored = pairs.join(of_term, "term").join(of_entity, "entity").where(F.col("f_e") < n)
-    return scored.select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE)
+    scored = hopeful.join(of_term, "term").withColumn("share", _share(n, F.greatest("f", "f_near")))
+    return scored.select("entity", "term", "share").where(F.col("share") >= GENERALISE)
 
 
 def all_spans(docs: DataFrame) -> DataFrame:
