@@ -222,12 +222,11 @@ def e22_rows_of_unusual_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.unusual_rows(cells(spark, sf_dir))
 
 
-@query(f"""{WITH_CELLS}, b AS (SELECT doc_id, max(row_ix) AS rows_, max(col_ix) AS cols FROM cells WHERE doc_id % 50 = 0 GROUP BY 1),
+@query(f"""{WITH_CELLS}, b AS (SELECT doc_id, max(row_ix) AS rows_, max(col_ix) AS cols FROM cells GROUP BY 1),
 g AS (SELECT doc_id, r AS row_ix, unnest(range(1, cols + 1)) AS col_ix FROM (SELECT *, unnest(range(1, rows_ + 1)) AS r FROM b))
 SELECT doc_id, row_ix::INT AS row_ix, col_ix::INT AS col_ix, coalesce(raw_value, 'EMPTY') AS raw_value FROM g LEFT JOIN cells USING (doc_id, row_ix, col_ix)""")
 def b5_dense_review_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The review documents of every 50th document, as the exporter's own query selects them."""
-    return validate.dense_grid(cells(spark, sf_dir).where("doc_id % 50 = 0"), F.col("raw_value"), "EMPTY")
+    return validate.dense_grid(cells(spark, sf_dir), F.col("raw_value"), "EMPTY")
 
 
 @query(f"""{WITH_PASSES} SELECT 'both' AS part, count(*) AS n FROM (SELECT doc_id, row_ix, col_ix FROM p1 INTERSECT SELECT doc_id, row_ix, col_ix FROM p2)

@@ -65,3 +65,23 @@ def test_classifiers(spark):
     assert [r["r"] for r in words.select(classify.run_on(F.col("w")).alias("r")).collect()] == [True, False, False]
     g = classify.grounding(F.col("w"), F.lit(2), F.lit("safety assessment"))
     assert [r["g"]["adjustment"] for r in words.select(g.alias("g")).collect()] == [0.75, 0.75, 0.75]
+
+
+def test_registry_converts(spark):
+    from loomgrid.functions import text
+    from loomgrid.sources.registry import Registry
+    from loomgrid.sources.render import to_html, to_text
+
+    tools = Registry()
+    tools.reader("text", lambda rows: rows.select("doc_id", F.posexplode(F.split("body", "\n")).alias("i", "line")))
+    tools.renderer("html", lambda rows: to_text(rows, ["doc_id"], "i", "line"), priority=-1)
+    tools.renderer("html", lambda rows: to_html(rows, ["doc_id"], "i", "line"))
+    source = spark.createDataFrame([(1, "- a\nb & c")], "doc_id int, body string")
+    step = lambda rows: rows.withColumn("line", text.line_text(F.col("line")))
+    assert tools.convert(source, "text", "html", (step,)).first()["html"] == "<p>a</p><p>b &amp; c</p>"
+    try:
+        tools.convert(source, "pdf", "html")
+    except ValueError as e:
+        assert "text" in str(e)
+    else:
+        raise AssertionError
