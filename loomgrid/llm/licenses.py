@@ -1,7 +1,8 @@
 """License scans by conditional compression.
 
-Blocks (lines) that have a license word are candidates. The words of each are compressed alone and with every template as
-a raw zstandard dictionary; the template with the largest relative reduction is the likeliest source. The best few are then
+Lines that have a license word, and their neighbours, are candidate blocks: each line by itself, and each run of lines as a
+whole for notices that are wrapped. The words of a block are compressed alone and with every template as a raw zstandard
+dictionary; the template with the largest relative reduction is the likeliest source. The best few are then
 confirmed by wording: the words of block and template are aligned, and the template wins whose words the block has in
 order up to the allowed share of differences. The differences themselves are part of the result.
 
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,10 +61,13 @@ def words(text: str) -> list[str]:
 
 @dataclass
 class Find:
+    """lines: how many lines the block has."""
+
     license: str
     reduction: float
     missing: list[str]
     extra: list[str]
+    lines: int = 1
 
 
 class Scanner:
@@ -110,16 +114,28 @@ class Scanner:
         return min(confirmed, key=lambda x: x[:2])[2] if confirmed else None
 
 
+    def scan_run(self, numbers: list[int], texts: list[str], scan_line) -> list[tuple[int, Find]]:
+        """Finds in lines, or one in the whole run if its template is longer than any of the lines."""
+        own = [(i, found) for i, t in zip(numbers, texts, strict=True) if (found := scan_line(t))]
+        if len(texts) > 1:
+            whole = self.scan(" ".join(texts))
+            if whole and len(self.words[whole.license]) > max(len(words(t)) for t in texts):
+                whole.lines = len(texts)
+                return [(numbers[0], whole)]
+        return own
+
+
 _FIND = T.StructType(
     [
         T.StructField("line", T.IntegerType()),
+        T.StructField("lines", T.IntegerType()),
         T.StructField("license", T.StringType()),
         T.StructField("reduction", T.DoubleType()),
         T.StructField("missing", T.ArrayType(T.StringType())),
         T.StructField("extra", T.ArrayType(T.StringType())),
     ]
 )
-_FIND_ARROW = pa.list_(pa.struct([("line", pa.int32()), ("license", pa.string()), ("reduction", pa.float64()), ("missing", pa.list_(pa.string())), ("extra", pa.list_(pa.string()))]))
+_FIND_ARROW = pa.list_(pa.struct([("line", pa.int32()), ("lines", pa.int32()), ("license", pa.string()), ("reduction", pa.float64()), ("missing", pa.list_(pa.string())), ("extra", pa.list_(pa.string()))]))
 _scanners: dict[tuple, Scanner] = {}
 
 
@@ -128,27 +144,44 @@ def _scan(templates: dict[str, str], names: list[str]):
         key = tuple(templates.items())
         if key not in _scanners:
             _scanners[key] = Scanner(templates)
+        scanner = _scanners[key]
         for batch in batches:
             seen: dict[str, Find | None] = {}
-            finds = []
+
+            def scan_line(line: str, seen=seen) -> Find | None:
+                if line not in seen:
+                    seen[line] = scanner.scan(line)
+                return seen[line]
+
+            finds, counts = [], []
             for lines in batch.column(batch.num_columns - 1).to_pylist():
-                own = []
-                for x in lines or []:
-                    if x["text"] not in seen:
-                        seen[x["text"]] = _scanners[key].scan(x["text"])
-                    if found := seen[x["text"]]:
-                        own.append({"line": x["line"], **vars(found)})
+                own, run = [], []
+                for x in [*(lines or []), {"line": -1}]:
+                    if run and x["line"] != run[-1]["line"] + 1:
+                        found = scanner.scan_run([r["line"] for r in run], [r["text"] for r in run], scan_line)
+                        own += [{"line": i, **vars(f)} for i, f in found]
+                        run = []
+                    run.append(x)
                 finds.append(own)
-            counts = pa.array([len(x or []) for x in batch.column(batch.num_columns - 1).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], counts, pa.array(finds, _FIND_ARROW)], names=names)
+                counts.append(sum(x["candidate"] for x in lines or []))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64()), pa.array(finds, _FIND_ARROW)], names=names)
 
     return run
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
-    """docs but for text, n_candidates (lines), and licenses: line number, template, reduction and differing words of each find."""
-    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("line"), x.alias("text")))
-    few = F.when(F.col("text").rlike(TRIGGER), F.filter(lines, lambda x: x["text"].rlike(TRIGGER)))
+    """docs but for text, n_candidates (lines), and licenses: first line, lines, template, reduction and differing words of each find."""
+
+    def near(lines: Column) -> Column:
+        """The lines with a license word and those beside them; told is an array of whether each line has one."""
+        hits = F.transform(lines, lambda x: x.rlike(TRIGGER))
+        pick = lambda told: F.filter(
+            F.transform(lines, lambda x, i: F.struct(i.alias("line"), x.alias("text"), F.element_at(told, i + 1).alias("candidate"))),
+            lambda s: s["candidate"] | F.coalesce(F.get(told, s["line"] - 1), F.lit(False)) | F.coalesce(F.get(told, s["line"] + 1), F.lit(False)),
+        )
+        return F.element_at(F.transform(F.array(hits), pick), 1)
+
+    few = F.when(F.col("text").rlike(TRIGGER), F.element_at(F.transform(F.array(F.split("text", "\n", -1)), near), 1))
     rest = docs.drop("text", "n_candidates", "licenses")
     rows = docs.select(*rest.columns, few.alias("__lines"))
     schema = T.StructType([*rest.schema.fields, T.StructField("n_candidates", T.LongType()), T.StructField("licenses", T.ArrayType(_FIND))])

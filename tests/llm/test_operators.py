@@ -125,9 +125,10 @@ def test_op3_finds_and_confirms(spark):
     docs = [
         (1, "words\nReleased under the MIT License.\nmore"), (2, "This work is licensed under the GNU General Public License, version 3."), (3, "This work is licensed under the GNU Affero General Public License, version 3."),
         (4, "a license to practise medicine was granted by the board"), (5, "plain"), (6, "All  rights   reserved"), (7, None), (8, ""),
+        (9, "head\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies\nof the Software, and to permit persons to whom the Software is furnished to do so.\ntail"),
     ]
     got = {r["doc_id"]: [(x["line"], x["license"]) for x in r["licenses"]] for r in licenses.scan_licenses(spark.createDataFrame(docs, DOCS)).collect()}
-    assert got == {1: [(1, "MIT")], 2: [(0, "GPL-3.0")], 3: [(0, "AGPL-3.0")], 4: [], 5: [], 6: [(0, "All-rights-reserved")], 7: [], 8: []}
+    assert got == {1: [(1, "MIT")], 2: [(0, "GPL-3.0")], 3: [(0, "AGPL-3.0")], 4: [], 5: [], 6: [(0, "All-rights-reserved")], 7: [], 8: [], 9: [(0, "MIT-text")]}
     found = licenses.Scanner().scan("This work is licenced under the GNU General Public License, version 3")
     assert found.license == "GPL-3.0" and found.missing == ["licensed"] and found.extra == ["licenced"] and found.reduction > 0.3
 
