@@ -24,6 +24,18 @@ PATTERNS = {
     "power": r"\b\w\^\{?\d+\}?",
     "subscript": r"\b\w_\{?\w+\}?",
     "comparison": r"[≤≥≠≈]\s*\d+(?:\.\d+)?",
+    "permutation": r"\bP\(\s*\w+\s*,\s*\w+\s*\)|\b\w+P\w\b(?=\s*=)",
+    "survival": r"\bS\(t\)\s*=\s*\S+(?:\s*[*×/-]\s*\S+)*",
+    "sample_size": r"\bn\s*=\s*\(?\s*Z[\w_αβ/]*[^.;]*",
+    "similarity_factor": r"\bf2\s*=\s*50\s*[*×·]?\s*log[^.;]*",
+    "clearance": r"\b(?:CrCl|CLcr)\s*=\s*\(?\s*140\s*[-–]\s*age[^.;]*",
+    "ratio": r"\b(?:HR|OR|RR|VE)\s*=\s*\d+(?:\.\d+)?\s*%?",
+    "function": r"\b(?:exp|log|ln|sqrt|log10)\s*\([^()]*\)",
+    "root": r"√\s*\(?[\w^+\-*/ ]+\)?",
+    "mean_deviation": r"\b\d+(?:\.\d+)?\s*±\s*\d+(?:\.\d+)?",
+    "scientific": r"\b\d+(?:\.\d+)?\s*[x×]\s*10\^?\{?-?\d+\}?",
+    "area_dose": r"\bmg/m(?:2|²)\b|\bmg/m²",
+    "greek": r"[αβγδεζηθλμσφχψω]\s*[=<>≤≥]\s*-?\d+(?:\.\d+)?",
 }
 _COMPILED = [(name, re.compile(p)) for name, p in PATTERNS.items()]
 
@@ -39,6 +51,21 @@ def spans_of(text: str) -> list[dict]:
     return out
 
 
+def annotated(text: str) -> str:
+    """The text as HTML with its formulas marked; marks are spliced from the end, so offsets hold."""
+    for f in reversed(spans_of(text)):
+        text = f'{text[: f["start"]]}<span class="formula" data-kind="{f["kind"]}">{text[f["start"] : f["end"]]}</span>{text[f["end"] :]}'
+    return text
+
+
+def annotate(rows: DataFrame, column: str, to: str) -> DataFrame:
+    @F.pandas_udf("string")
+    def mark(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else annotated(t))
+
+    return rows.withColumn(to, mark(F.col(column)))
+
+
 def detect(rows: DataFrame, column: str) -> DataFrame:
     """rows with formulas: kind, start and end of each."""
 

@@ -87,6 +87,22 @@ def test_formulas_do_not_overlap():
     assert [text[f["start"] : f["end"]] for f in found] == ["dC/dt", "x^2", "n!", "p < 0.05"]
 
 
+@pytest.mark.parametrize(
+    "text, kinds",
+    [
+        ("n = (Zα + Zβ)² × 2σ² / δ²", ["sample_size"]), ("CrCl = (140 - age) × weight / 72", ["clearance"]), ("f2 = 50 log (100 / x)", ["similarity_factor"]), ("HR = 0.75 and 12 ± 3", ["ratio", "mean_deviation"]),
+        ("5 x 10^6 at 20 mg/m²", ["scientific", "area_dose"]), ("P(5, 2) and exp(x)", ["permutation", "function"]), ("AUC0-inf, Cmax", ["pharmacokinetic", "pharmacokinetic"]), ("no formula here", []), ("", []),
+    ],
+)
+def test_formula_kinds(text, kinds):
+    assert [f["kind"] for f in formulas.spans_of(text)] == kinds
+
+
+def test_formulas_are_marked(spark):
+    rows = spark.createDataFrame([("a x^2 b",), (None,)], "t string")
+    assert [r["h"] for r in formulas.annotate(rows, "t", "h").collect()] == ['a <span class="formula" data-kind="power">x^2</span> b', None]
+
+
 def test_renderers(spark):
     cells = spark.createDataFrame([(1, 1, 1, "a"), (1, 1, 2, "b"), (1, 2, 1, "c"), (1, 2, 2, "d")], CELL)
     assert to_markdown_table(cells, ["doc_id"]).first()["markdown"] == "| a | b |\n| c | d |"
