@@ -15,7 +15,7 @@ import pyarrow as pa
 from loomgrid.llm.textcodes import bytes_of, hashed, prefix_of
 
 REMEMBERED = 2_000_000
-SLOT_BITS = 23
+SLOT_BITS = 22
 _AT_ONCE = 2000
 
 _SPACE, _LETTER, _OTHER, _BEYOND = range(4)
