@@ -10,11 +10,16 @@
    values, so the draws are tables: by sample, level and 14 bits of the element's hash. An element's weight is the
    same in all texts, so a sample's second part never tells two texts apart and is left out.
 4. Bands. Texts that share all samples of a band meet. In each meeting, the smallest id leads; a member that agrees
-   with a leader in half the samples or more is paired with it, and others become leaders. This happens first within
-   each task, so what is dealt by band holds few rows for each task, however large a group is; then for each band.
+   with a leader in half the samples or more is paired with it, and others become leaders. Equal texts of a task send
+   one of them.
 5. Pairs are verified by their exact weighted Jaccard similarity over whole texts, but for equal texts. As idf lowers
    what frequent passages count, a pair whose unweighted similarity reaches the threshold is a link as well.
 6. Classes are the connected components, by alternating large-star and small-star steps over staged tables.
+7. A meeting whose members are in more than one class meets again: first with its centre, which has most of the usual
+   samples, so copies of one text become one class even where they are less like each other; then each two members of different classes that agree in
+   half the samples or more are verified, so no link is lost to a leader. Near copies are one class by then and cost
+   nothing more; the pairs grow with the square of a meeting's members only where these are alike, but no copies. A task
+   holds one meeting's members, about 100 bytes each. The classes of all links are the result.
 
 Defined results. Null, empty and wordless texts are alone. Texts of fewer words than a shingle are one shingle. Rows
 that share a doc_id are one document; a row without a doc_id has no class. A class has its smallest doc_id as its id.
@@ -24,6 +29,7 @@ Other columns pass through.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -43,7 +49,7 @@ WIDTH, DEPTH = 1 << 16, 2
 RARE = 0.002
 LEVELS = 16
 ENTRIES = 1 << 14
-#: Texts whose bands a task holds before it lets its leaders go.
+#: Texts whose bands a task holds before it lets them go.
 HELD = 1 << 15
 ALIKE = 0.5
 BLOCK = 4096
@@ -220,8 +226,19 @@ def _pair_rows(a: np.ndarray, b: np.ndarray, same: np.ndarray) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(b), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(a), pa.array(same)], schema=_SIGNED)
 
 
+def _member_rows(key: np.ndarray, ids: np.ndarray, prints: np.ndarray, short: np.ndarray) -> pa.RecordBatch:
+    n = len(ids)
+    texts = pa.array([x.tobytes() for x in short], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(prints), texts, pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_())], schema=_SIGNED)
+
+
+def _members(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    key, ids, prints = (batch.column(k).to_numpy() for k in range(3))
+    return key, ids, prints, np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint16).reshape(-1, SAMPLES)
+
+
 def _sign(shared):
-    """Rows of leaders (key set) for the bands, and pairs (lead set) that were found within the task."""
+    """Members (key set) for the bands, and pairs (lead set) of equal texts within the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -229,24 +246,14 @@ def _sign(shared):
         def flush() -> Iterator[pa.RecordBatch]:
             ids, prints, short, keys = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            meetings = Meetings()
-            by_id = np.argsort(ids, kind="stable")
-            ids, prints, short, keys = ids[by_id], prints[by_id], short[by_id], keys[by_id]
+            order = np.lexsort((ids, prints))
+            ids, prints, short, keys = ids[order], prints[order], short[order], keys[order]
+            new = np.ones(len(ids), bool)
+            new[1:] = prints[1:] != prints[:-1]
+            yield _pair_rows(ids[new][np.cumsum(new) - 1][~new], ids[~new], np.ones(len(ids) - new.sum(), bool))
+            ids, prints, short, keys = ids[new], prints[new], short[new], keys[new]
             for b in range(BANDS):
-                order = np.argsort(keys[:, b], kind="stable")
-                own, stays = keys[order, b], np.ones(len(order), bool)
-                for low, high in _groups(own):
-                    members = order[low:high]
-                    lead = meetings.meet(ids[members], prints[members], short[members])
-                    stays[low:high] = False
-                    stays[low + lead] = True
-                out = order[stays]
-                n = len(out)
-                texts = pa.array([x.tobytes() for x in short[out]], pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own[stays].view(np.int64)), pa.array(ids[out]), pa.array(prints[out]), texts, pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_())], schema=_SIGNED
-                )
-                yield _pair_rows(*meetings.take())
+                yield _member_rows(keys[:, b].view(np.int64), ids, prints, short)
 
         total = 0
         for batch in batches:
@@ -266,38 +273,107 @@ def _sign(shared):
 
 
 def _meet_by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Leaders of all tasks, ordered by key and id: pairs within each key. Only the leaders of a key that goes on are kept."""
+    """Members ordered by key and id: pairs with leaders (lead set), and the members that met (key set). Only the leaders of a key that goes on are kept."""
     kept: tuple[np.ndarray, ...] | None = None
     for batch in batches:
-        key, ids, prints = (batch.column(k).to_numpy() for k in range(3))
-        if not len(key):
+        if not batch.num_rows:
             continue
-        short = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint16).reshape(-1, SAMPLES)
+        rows = _members(batch)
         carried = 0
-        if kept is not None and kept[0][0] == key[0]:
+        if kept is not None and kept[0][0] == rows[0][0]:
             carried = len(kept[0])
-            key, ids, prints, short = (np.concatenate(x) for x in zip(kept, (key, ids, prints, short), strict=True))
+            rows = tuple(np.concatenate(x) for x in zip(kept, rows, strict=True))
+        key, ids, prints, short = rows
+        fresh = np.ones(len(key), bool)  # members that no batch before has sent on
+        fresh[:carried] = carried == 1 and alone
         meetings = Meetings()
         start = len(key) - 1
         while start and key[start - 1] == key[-1]:
             start -= 1
-        kept = (key[start:], ids[start:], prints[start:], short[start:])
+        kept, alone = tuple(x[start:] for x in rows), start == len(key) - 1
+        met = np.zeros(len(key), bool)
         for low, high in _groups(key):
             lead = meetings.meet(ids[low:high], prints[low:high], short[low:high], carried if low == 0 else 0)
+            met[low:high] = fresh[low:high]
             if low == start:
                 kept = tuple(x[lead] for x in kept)
-        yield _pair_rows(*meetings.take()).select(["id", "lead", "same"])
+        yield _pair_rows(*meetings.take())
+        yield _member_rows(*(x[met] for x in rows))
+
+
+def _centre(short: np.ndarray) -> int:
+    """The member that has most of the samples that are the most frequent ones."""
+    usual = np.array([np.bincount(x).argmax() for x in short.T.astype(np.int64)])
+    return int((short == usual).sum(axis=1).argmax())
+
+
+def _meet_again(batches: Iterator[pa.RecordBatch], centre: bool) -> Iterator[pa.RecordBatch]:
+    """Members and their class, ordered by key: each two (or the centre and each) of a key and of different classes that are alike. Equal texts meet by one of them."""
+
+    def pairs(ids: np.ndarray, prints: np.ndarray, short: np.ndarray, classes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if (classes == classes[0]).all():
+            return
+        order = np.lexsort((ids, prints))
+        new = np.ones(len(ids), bool)
+        new[1:] = prints[order][1:] != prints[order][:-1]
+        first = order[new]
+        lead, rest = first[np.cumsum(new) - 1][~new], order[~new]
+        yield _pair_rows(ids[lead], ids[rest], np.ones(len(rest), bool)).select(["id", "lead", "same"])
+        first = first[np.argsort(classes[first], kind="stable")]
+        ids, short, classes = ids[first], short[first], classes[first]
+        if centre:
+            at = _centre(short)
+            found = np.flatnonzero((classes != classes[at]) & ((short == short[at]).mean(axis=1) >= ALIKE))
+            yield _pair_rows(np.full(len(found), ids[at]), ids[found], np.zeros(len(found), bool)).select(["id", "lead", "same"])
+            return
+        beyond = np.searchsorted(classes, classes, side="right")
+        a, b, n = [], [], 0
+        for i, low in enumerate(beyond.tolist()):
+            found = low + np.flatnonzero((short[low:] == short[i]).mean(axis=1) >= ALIKE)
+            a.append(np.full(len(found), ids[i]))
+            b.append(ids[found])
+            n += len(found)
+            if n >= 1 << 16 or i == len(ids) - 1:
+                yield _pair_rows(np.concatenate(a), np.concatenate(b), np.zeros(n, bool)).select(["id", "lead", "same"])
+                a, b, n = [], [], 0
+
+    kept: tuple[np.ndarray, ...] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = (*_members(batch), batch.column(4).to_numpy())
+        if kept is not None:
+            rows = tuple(np.concatenate(x) for x in zip(kept, rows, strict=True))
+        start = int(np.flatnonzero(rows[0] != rows[0][-1])[-1]) + 1 if rows[0][0] != rows[0][-1] else 0
+        for low, high in _groups(rows[0][:start]):
+            yield from pairs(*(x[low:high] for x in rows[1:]))
+        kept = tuple(x[start:] for x in rows)
+    if kept is not None:
+        yield from pairs(*kept[1:])
+
 
+def _distinct_pairs(rows: DataFrame) -> DataFrame:
+    """a < b, and same if the texts are equal."""
+    return rows.where("id <> lead").groupBy(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).agg(F.max("same").alias("same"))
 
-def candidate_pairs(docs: DataFrame, weights: Weights) -> DataFrame:
-    """a < b, and same if the texts are equal: every text that shares a band is paired with a leader that it is like."""
+
+def candidate_pairs(docs: DataFrame, weights: Weights) -> tuple[DataFrame, DataFrame]:
+    """Pairs of every text that shares a band with a leader that it is like, and the members of the bands that are shared."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     keyed = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("print"))
     signed = staged(keyed.mapInArrow(_sign(shared), _SIGNED_DDL), "signed")
-    leaders = signed.where(F.col("key").isNotNull()).select("key", "id", "print", "short")
-    met = leaders.repartition(partitions_for(docs), "key").sortWithinPartitions("key", "id").mapInArrow(_meet_by_key, "id long, lead long, same boolean")
-    pairs = signed.where(F.col("key").isNull()).select("id", "lead", "same").unionByName(met).where("id <> lead")
-    return pairs.groupBy(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).agg(F.max("same").alias("same"))
+    members = signed.where(F.col("key").isNotNull()).select("key", "id", "print", "short")
+    met = staged(members.repartition(partitions_for(docs), "key").sortWithinPartitions("key", "id").mapInArrow(_meet_by_key, _SIGNED_DDL), "met")
+    of_rows = lambda df: df.where(F.col("key").isNull()).select("id", "lead", "same")
+    return _distinct_pairs(of_rows(signed).unionByName(of_rows(met))), met.where(F.col("key").isNotNull()).select("key", "id", "print", "short")
+
+
+def pairs_across(members: DataFrame, classes: DataFrame, centre: bool) -> DataFrame:
+    """a, b, same: each two members of a band (or its centre and each) that are alike, but not of one class."""
+    own = members.join(classes.select(F.col("doc_id").alias("id"), "class_id"), "id", "left")
+    rows = own.select("key", "id", "print", "short", F.coalesce("class_id", "id").alias("class"))
+    met = rows.repartition(partitions_for(members), "key").sortWithinPartitions("key").mapInArrow(partial(_meet_again, centre=centre), "id long, lead long, same boolean")
+    return _distinct_pairs(met)
 
 
 def jaccard(left: pa.Array, right: pa.Array, weights: Weights) -> np.ndarray:
@@ -328,10 +404,8 @@ def _verify(shared, threshold: float):
     return run
 
 
-def verified_links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """a, b, similarity: pairs of documents that are at least so similar; equal texts have 1."""
-    weights = shingle_weights(docs)
-    pairs = staged(candidate_pairs(docs, weights), "pairs")
+def verified(docs: DataFrame, pairs: DataFrame, weights: Weights, threshold: float) -> DataFrame:
+    """a, b, similarity: those of the pairs that are at least so similar; equal texts have 1."""
     open_ = pairs.where(~F.col("same"))
     wanted = open_.select(F.col("a").alias("doc_id")).union(open_.select("b")).distinct()
     texts = staged(docs.select("doc_id", "text").join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"), "pair-texts")
@@ -342,6 +416,19 @@ def verified_links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return pairs.where("same").select("a", "b", F.lit(1.0).alias("similarity")).unionByName(found)
 
 
+def verified_links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """a, b, similarity: links of documents that are at least so similar. Any two similar ones that share a band are linked by a path."""
+    weights = shingle_weights(docs)
+    pairs, members = candidate_pairs(docs, weights)
+    pairs = staged(pairs, "pairs")
+    links = staged(verified(docs, pairs, weights, threshold), "links")
+    for centre in (True, False):
+        again = staged(pairs_across(members, components(links), centre).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        if not again.isEmpty():
+            pairs, links = pairs.unionByName(again), staged(links.unionByName(verified(docs, again, weights, threshold)), "links")
+    return links
+
+
 def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")).first())
 

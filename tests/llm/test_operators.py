@@ -188,6 +188,31 @@ def test_op5_links_near_copies_only(spark):
     assert got == {i: find(i) for i, _ in docs}
 
 
+def test_op5_links_copies_within_template_families(spark):
+    """Pages of a family share 0.77 of their shingles, below the threshold, and some have a copy of 0.82."""
+    rng = random.Random(55)
+    docs = [(10_000 + i, " ".join(rng_words(rng, 12))) for i in range(2000)]
+    pairs = []
+    for family in range(12):
+        frame = rng_words(rng, 300)
+        for i in range(16):
+            own, id_ = rng_words(rng, 39), 100 * family + i
+            docs.append((id_, " ".join(frame + own)))
+            if i % 2:
+                docs.append((id_ + 50, " ".join(frame + own[:6] + rng_words(rng, 33))))
+                pairs.append((id_, id_ + 50))
+    text = dict(docs)
+    assert all(jaccard(text[a], text[b]) >= 0.8 for a, b in pairs) and jaccard(text[0], text[1]) < 0.8
+    rows = spark.createDataFrame(docs, DOCS)
+    _, drawn = neardup.samples(*neardup.elements(pa.array(list(text.values())), neardup.shingle_weights(rows)))
+    keys, at = neardup.band_keys(drawn), {x: i for i, x in enumerate(text)}
+    agree = {(a, b): (drawn[at[a]] == drawn[at[b]]).mean() for a, b in pairs}
+    meeting = [p for p in pairs if (keys[at[p[0]]] == keys[at[p[1]]]).any() and agree[p] >= neardup.ALIKE]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicate_classes(rows).collect()}
+    assert len(meeting) > 80 and [p for p in meeting if got[p[0]] != got[p[1]]] == []
+    assert got[0] != got[1] and got[100] != got[0]
+
+
 def test_op5_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 40), (40, 60)], "a long, b long")
     got = {r["doc_id"]: r["class_id"] for r in neardup.components(links).collect()}
