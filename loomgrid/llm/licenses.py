@@ -1,27 +1,29 @@
 """License scans by conditional compression.
 
-Lines that have a license word, and their neighbours, are candidate blocks: each line by itself, and each run of lines as a
-whole for notices that are wrapped. The words of a block are compressed alone and with every template as a raw zstandard
-dictionary; the template with the largest relative reduction is the likeliest source. The best few are then
-confirmed by wording: the words of block and template are aligned, and the template wins whose words the block has in
-order up to the allowed share of differences. The differences themselves are part of the result.
+The words about each license word, enough on both sides to hold the longest template, are a candidate block; blocks that
+overlap are one. Line ends and line lengths do not matter. In a block, every template is aligned wherever a run of
+its words stands that a notice within the allowed share of differences must have (with d differences, one of at least
+(n - d) / (d + 1) words), and an occurrence is confirmed if the block has the template's words in order up to that share.
+Of occurrences that overlap, the one with the most words beyond its differences stays, and all others of a block are
+reported. The words of an occurrence are compressed alone and with the template as a raw zstandard dictionary; the
+relative reduction is reported and decides ties. The differing words themselves are part of the result.
 
-Candidates are found in whole texts by DataFrame functions, so only their lines reach Python, and a line that repeats
-is judged once in a batch. Nothing is shuffled.
+Only texts with a license word reach Python. Nothing is shuffled.
 
 Defined results. Null and empty texts, and texts without a license word, have no finds. Words are compared without case
-and punctuation. Ties go to the smaller reduction rank, then to the earlier template. Other columns pass through.
+and punctuation. Ties go to the larger reduction, then to the earlier template. Other columns pass through.
 """
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,11 +49,11 @@ TEMPLATES = {
 }
 #: Words that make a line a candidate (fixed pattern).
 TRIGGER = r"(?i)licen[cs]e|copyright|rights\s+reserved|permission|redistribut|public\s+domain|free\s+software"
-BEST = 3
 DIFFERENCES = 0.2
 #: The window of words that is aligned is a few words longer than the template.
 MARGIN = 4
 
+_TRIGGER = re.compile(TRIGGER, re.ASCII)
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 
 
@@ -61,13 +63,14 @@ def words(text: str) -> list[str]:
 
 @dataclass
 class Find:
-    """lines: how many lines the block has."""
+    """lines: how many lines the occurrence has; start, end: its words in the text."""
 
     license: str
     reduction: float
     missing: list[str]
     extra: list[str]
-    lines: int = 1
+    start: int
+    end: int
 
 
 class Scanner:
@@ -81,48 +84,79 @@ class Scanner:
             n: zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for n, w in self.words.items()
         }
 
-    def reductions(self, block: list[str]) -> list[tuple[float, str]]:
-        """The templates by how much they shorten the compressed words of a block, the largest relative reduction first."""
+    def reduction(self, block: list[str], name: str) -> float:
+        """By how much of its size the template shortens the compressed words."""
         data = " ".join(block).encode("utf-8", "surrogatepass")
         alone = len(self.plain.compress(data))
-        found = [((alone - len(self.primed[n].compress(data))) / alone, n) for n in self.names]
-        return sorted(found, key=lambda x: (-x[0], self.names.index(x[1])))
+        return (alone - len(self.primed[name].compress(data))) / alone
 
-    def wording(self, block: list[str], name: str) -> tuple[list[str], list[str]] | None:
-        """What the block lacks of the template and has within it besides; None if that is too much."""
+    def occurrences(self, block: list[str], name: str) -> Iterator[tuple[int, int, list[str], list[str]]]:
+        """start, end, and what the block lacks of the template and has within it besides, of every occurrence."""
         want = self.words[name]
-        match = difflib.SequenceMatcher(None, want, block, autojunk=False)
-        longest = match.find_longest_match(0, len(want), 0, len(block))
-        if not longest.size:
-            return None
-        low = max(0, longest.b - longest.a - MARGIN)
-        part = block[low : longest.b - longest.a + len(want) + MARGIN]
-        same = [m for m in difflib.SequenceMatcher(None, want, part, autojunk=False).get_matching_blocks() if m.size]
-        inside = range(same[0].b, same[-1].b + same[-1].size) if same else range(0)
-        matched_a = {i for m in same for i in range(m.a, m.a + m.size)}
-        matched_b = {i for m in same for i in range(m.b, m.b + m.size)}
-        missing = [w for i, w in enumerate(want) if i not in matched_a]
-        extra = [part[i] for i in inside if i not in matched_b]
-        return (missing, extra) if len(missing) + len(extra) <= DIFFERENCES * len(want) else None
+        most = int(DIFFERENCES * len(want))
+        least = -(-(len(want) - most) // (most + 1))
+        there = set(block)
+        if sum(w in there for w in want) < len(want) - most:
+            return
+        block = list(block)
+        while True:
+            longest = difflib.SequenceMatcher(None, want, block, autojunk=False).find_longest_match(0, len(want), 0, len(block))
+            if longest.size < least:
+                return
+            low = max(0, longest.b - longest.a - most - MARGIN)
+            part = block[low : longest.b - longest.a + len(want) + most + MARGIN]
+            same = [m for m in difflib.SequenceMatcher(None, want, part, autojunk=False).get_matching_blocks() if m.size]
+            start, end = same[0].b, same[-1].b + same[-1].size
+            matched_a = {i for m in same for i in range(m.a, m.a + m.size)}
+            matched_b = {i for m in same for i in range(m.b, m.b + m.size)}
+            missing = [w for i, w in enumerate(want) if i not in matched_a]
+            extra = [part[i] for i in range(start, end) if i not in matched_b]
+            if len(missing) + len(extra) <= most:
+                yield low + start, low + end, missing, extra
+                block[low + start : low + end] = [""] * (end - start)
+            else:
+                block[longest.b] = ""
+
+    def finds(self, block: list[str]) -> list[Find]:
+        """The confirmed occurrences that do not overlap, by their place."""
+        found = []
+        for i, name in enumerate(self.names):
+            for start, end, missing, extra in self.occurrences(block, name):
+                reduction = self.reduction(block[start:end], name)
+                found.append((len(missing) + len(extra) - len(self.words[name]), -reduction, i, Find(name, reduction, missing, extra, start, end)))
+        out: list[Find] = []
+        for *_, find in sorted(found, key=lambda x: x[:3]):
+            if all(find.end <= x.start or x.end <= find.start for x in out):
+                out.append(find)
+        return sorted(out, key=lambda x: x.start)
 
     def scan(self, block: str) -> Find | None:
-        own = words(block)
-        confirmed = []
-        for rank, (reduction, name) in enumerate(self.reductions(own)[:BEST]):
-            if reduction > 0 and (found := self.wording(own, name)) is not None:
-                confirmed.append((len(found[0]) + len(found[1]) - len(self.words[name]), rank, Find(name, reduction, *found)))
-        return min(confirmed, key=lambda x: x[:2])[2] if confirmed else None
-
-
-    def scan_run(self, numbers: list[int], texts: list[str], scan_line) -> list[tuple[int, Find]]:
-        """Finds in lines, or one in the whole run if its template is longer than any of the lines."""
-        own = [(i, found) for i, t in zip(numbers, texts, strict=True) if (found := scan_line(t))]
-        if len(texts) > 1:
-            whole = self.scan(" ".join(texts))
-            if whole and len(self.words[whole.license]) > max(len(words(t)) for t in texts):
-                whole.lines = len(texts)
-                return [(numbers[0], whole)]
-        return own
+        """The find with the most words beyond its differences."""
+        return min(self.finds(words(block)), key=lambda x: len(x.missing) + len(x.extra) - len(self.words[x.license]), default=None)
+
+    def scan_text(self, text: str) -> list[dict]:
+        tokens = list(_WORD.finditer(text))
+        starts = [m.start() for m in tokens]
+        longest = max(map(len, self.words.values()))
+        reach = longest + int(DIFFERENCES * longest) + MARGIN
+        blocks: list[list[int]] = []
+        for m in _TRIGGER.finditer(text):
+            at = bisect.bisect_right(starts, m.start()) - 1
+            low, high = max(0, at - reach), min(len(tokens), at + reach + 1)
+            if blocks and low <= blocks[-1][1]:
+                blocks[-1][1] = high
+            else:
+                blocks.append([low, high])
+        out = []
+        for low, high in blocks:
+            for f in self.finds([m.group().lower() for m in tokens[low:high]]):
+                first, last = tokens[low + f.start].start(), tokens[low + f.end - 1].start()
+                line, lines = text.count("\n", 0, first), text.count("\n", first, last) + 1
+                if lines > 1:  # a wrapped notice's block has the lines beside it
+                    before, after = line > 0, text.find("\n", last) >= 0
+                    line, lines = line - before, lines + before + after
+                out.append({"line": line, "lines": lines, "license": f.license, "reduction": f.reduction, "missing": f.missing, "extra": f.extra})
+        return out
 
 
 _FIND = T.StructType(
@@ -146,24 +180,9 @@ def _scan(templates: dict[str, str], names: list[str]):
             _scanners[key] = Scanner(templates)
         scanner = _scanners[key]
         for batch in batches:
-            seen: dict[str, Find | None] = {}
-
-            def scan_line(line: str, seen=seen) -> Find | None:
-                if line not in seen:
-                    seen[line] = scanner.scan(line)
-                return seen[line]
-
-            finds, counts = [], []
-            for lines in batch.column(batch.num_columns - 1).to_pylist():
-                own, run = [], []
-                for x in [*(lines or []), {"line": -1}]:
-                    if run and x["line"] != run[-1]["line"] + 1:
-                        found = scanner.scan_run([r["line"] for r in run], [r["text"] for r in run], scan_line)
-                        own += [{"line": i, **vars(f)} for i, f in found]
-                        run = []
-                    run.append(x)
-                finds.append(own)
-                counts.append(sum(x["candidate"] for x in lines or []))
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            finds = [scanner.scan_text(t) if t else [] for t in texts]
+            counts = [sum(_TRIGGER.search(x) is not None for x in t.split("\n")) if t else 0 for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64()), pa.array(finds, _FIND_ARROW)], names=names)
 
     return run
@@ -171,18 +190,8 @@ def _scan(templates: dict[str, str], names: list[str]):
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """docs but for text, n_candidates (lines), and licenses: first line, lines, template, reduction and differing words of each find."""
-
-    def near(lines: Column) -> Column:
-        """The lines with a license word and those beside them; told is an array of whether each line has one."""
-        hits = F.transform(lines, lambda x: x.rlike(TRIGGER))
-        pick = lambda told: F.filter(
-            F.transform(lines, lambda x, i: F.struct(i.alias("line"), x.alias("text"), F.element_at(told, i + 1).alias("candidate"))),
-            lambda s: s["candidate"] | F.coalesce(F.get(told, s["line"] - 1), F.lit(False)) | F.coalesce(F.get(told, s["line"] + 1), F.lit(False)),
-        )
-        return F.element_at(F.transform(F.array(hits), pick), 1)
-
-    few = F.when(F.col("text").rlike(TRIGGER), F.element_at(F.transform(F.array(F.split("text", "\n", -1)), near), 1))
+    few = F.when(F.col("text").rlike(TRIGGER), F.col("text"))
     rest = docs.drop("text", "n_candidates", "licenses")
-    rows = docs.select(*rest.columns, few.alias("__lines"))
+    rows = docs.select(*rest.columns, few.alias("__text"))
     schema = T.StructType([*rest.schema.fields, T.StructField("n_candidates", T.LongType()), T.StructField("licenses", T.ArrayType(_FIND))])
     return rows.mapInArrow(_scan(templates or TEMPLATES, [f.name for f in schema]), schema)

@@ -133,6 +133,20 @@ def test_op3_finds_and_confirms(spark):
     assert found.license == "GPL-3.0" and found.missing == ["licensed"] and found.extra == ["licenced"] and found.reduction > 0.3
 
 
+def test_op3_finds_all_notices_in_lines_of_any_length(spark):
+    rng = random.Random(33)
+    mit, by, gpl = (licenses.TEMPLATES[x] for x in ("MIT-text", "CC-BY-4.0", "GPL-3.0"))
+    filler = lambda n: " ".join(rng_words(rng, n))
+    narrow = lambda t: re.sub(r"(.{1,40})(?:\s+|$)", r"\1\n", t).strip()
+    docs = [(i, f"{filler(750)} {t} {filler(750)}") for i, t in enumerate(licenses.TEMPLATES.values())]
+    docs += [(100, f"head\n{narrow(mit)}\n{by}"), (101, f"{narrow(mit)}\nbetween\n{narrow(gpl)}"), (102, f"{by} {filler(3)} {gpl}"), (103, "All rights\nreserved."), (104, f"{by}\n{by}")]
+    got = {r["doc_id"]: [(x["line"], x["license"]) for x in r["licenses"]] for r in licenses.scan_licenses(spark.createDataFrame(docs, DOCS)).collect()}
+    assert [got[i] for i in range(len(licenses.TEMPLATES))] == [[(0, n)] for n in licenses.TEMPLATES]
+    lines = narrow(mit).count("\n") + 1
+    assert got[100] == [(0, "MIT-text"), (lines + 1, "CC-BY-4.0")] and got[101] == [(0, "MIT-text"), (lines, "GPL-3.0")]
+    assert got[102] == [(0, "CC-BY-4.0"), (0, "GPL-3.0")] and got[103] == [(0, "All-rights-reserved")] and got[104] == [(0, "CC-BY-4.0"), (1, "CC-BY-4.0")]
+
+
 def test_op4_against_brute_force(spark):
     rng = random.Random(4)
     pool = [f"A repeated line number {i}" for i in range(30)] + ["short", "", "  Padded Line Here \t"]
