@@ -1,15 +1,16 @@
 """Personal data and what reveals it: information-theoretic sanitisation. DataFrame operations only.
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers, found by pattern and checked. They are
-the protected entities. A term is a word that stands near an entity. Over all documents, with document frequencies f,
+the protected entities. A term is a word of a document that holds an entity, outside of e-mail
+addresses. Over all documents, with document frequencies f,
 
     PMI(e; t) = log(N f(e, t) / (f(e) f(t)))        IC(e) = log(N / f(e))
 
 and PMI / IC says how much of an entity's information its term discloses: 1 if the term occurs with the entity alone.
-Terms of at least SUPPORT common documents whose share reaches GENERALISE are spans as well; `sanitise` generalises
-them, and removes those that reach REMOVE.
+Terms of at least SUPPORT common documents whose share reaches GENERALISE are spans wherever they occur, in all texts;
+`sanitise` generalises them, and removes those that reach REMOVE.
 
-A context has at most 2 * NEAR words, so pairs grow with the entities' occurrences. f(t) is counted over every word of
+Pairs are made for entities of at least SUPPORT documents, as others cannot reach it. f(t) is counted over every word of
 every document for the terms in question, which are broadcast while there are at most BROADCAST_TERMS, and joined after
 counting beyond that. Pairs are counted after they are made distinct by document; no group is gathered in one task.
 
@@ -23,6 +24,8 @@ columns pass through `sanitise`.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,8 +45,6 @@ PATTERNS = {
 KINDS = (*PATTERNS, "term")
 TERM = r"[A-Za-z\x{80}-\x{10FFFF}]+"
 LEAST_TERM = 3
-NEAR = 6
-REACH = 120
 SUPPORT = 3
 GENERALISE, REMOVE = 0.9, 0.99
 BROADCAST_TERMS = 200_000
@@ -80,7 +81,7 @@ def _may_have(kind: str, text: Column) -> Column:
 
 
 def _matches(kind: str, text: Column) -> Column:
-    """Per match: the length of the gap before it, its value, and what stands before and after."""
+    """Per match: the length of the gap before it and its value."""
     pattern = PATTERNS[kind]
 
     def cut(gaps: Column) -> Column:
@@ -91,8 +92,6 @@ def _matches(kind: str, text: Column) -> Column:
                 i.alias("i"),
                 F.length(F.element_at(gaps, i + 1)).alias("gap"),
                 m.alias("value"),
-                F.right(F.element_at(gaps, i + 1), F.lit(REACH)).alias("before"),
-                F.left(F.element_at(gaps, i + 2), F.lit(REACH)).alias("after"),
             ),
         )
 
@@ -101,7 +100,7 @@ def _matches(kind: str, text: Column) -> Column:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, th, kind, start, end, value, before, after: the checked base spans; offsets count code points, the end is exclusive."""
+    """doc_id, th, kind, start, end, value: the checked base spans; offsets count code points, the end is exclusive."""
     every = F.flatten(F.filter(F.array(*[_matches(k, F.col("text")) for k in PATTERNS]), lambda x: x.isNotNull()))
     numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))  # before the explode, so matches of a row share it
     rows = numbered.select("doc_id", F.xxhash64("text").alias("th"), "row", F.explode(every).alias("m")).select("doc_id", "th", "row", "m.*")
@@ -111,7 +110,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
         rows.withColumn("end", end)
         .withColumn("start", F.col("end") - F.length("value"))
         .where(valid(F.col("kind"), F.col("value")))
-        .select("doc_id", "th", "kind", "start", "end", "value", "before", "after")
+        .select("doc_id", "th", "kind", "start", "end", "value")
         .dropDuplicates(["doc_id", "th", "kind", "start"])
     )
 
@@ -120,31 +119,36 @@ def entity(kind: Column, value: Column) -> Column:
     return F.concat_ws(":", kind, F.when(kind.isin("card", "phone"), _digits(value)).otherwise(F.lower(value)))
 
 
-def _terms(text: Column, offset: Column) -> Column:
-    """The words of a short text with their offsets."""
-    words, gaps = F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.split(text, TERM, -1)
-    start = F.struct(offset.alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,word:string>>").alias("out"))
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + F.length(x["gap"])
-        end = at + F.length(x["word"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(at.alias("start"), end.alias("end"), x["word"].alias("word")))).alias("out"))
 
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(words)), words, lambda g, w: F.struct(g.alias("gap"), w.alias("word")))
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+def contexts(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """doc_id, th, entity, term: the distinct words, outside of e-mail addresses, of the documents of an entity in SUPPORT documents or more."""
+    own = spans.select("doc_id", "th", entity(F.col("kind"), F.col("value")).alias("entity")).distinct()
+    often = own.groupBy("entity").agg(F.count("*").alias("f_e")).where(F.col("f_e") >= SUPPORT)
+    holders = own.join(often.select("entity"), "entity").groupBy(F.col("doc_id").alias("__doc"), F.col("th").alias("__th")).agg(F.collect_set("entity").alias("entities"))
+    may = reduce(lambda x, y: x | y, [_may_have(k, F.col("text")) for k in PATTERNS])
+    outside = F.regexp_replace("text", PATTERNS["email"], " ")  # the other kinds have no letters
+    rows = docs.where(may).select("doc_id", F.xxhash64("text").alias("th"), F.array_distinct(_words(F.lower(outside))).alias("terms")).dropDuplicates(["doc_id", "th"])
+    held = rows.join(holders, rows["doc_id"].eqNullSafe(holders["__doc"]) & (rows["th"] == holders["__th"]))
+    each = held.select("doc_id", "th", F.explode("entities").alias("entity"), "terms").select("doc_id", "th", "entity", F.explode("terms").alias("term"))
+    return each.where(F.length("term") >= LEAST_TERM)
 
 
-def contexts(spans: DataFrame) -> DataFrame:
-    """doc_id, th, entity, term, start, end: the words of an entity's line that stand near it. Words that are cut off are left out."""
-    line = F.substring_index("before", "\n", -1)
-    left = F.when(F.length(line) < REACH, line).otherwise(F.concat(F.repeat(F.lit(" "), F.length(line) - F.length(F.regexp_replace(line, f"^{TERM}", ""))), F.regexp_replace(line, f"^{TERM}", "")))
-    rest = F.substring_index("after", "\n", 1)
-    right = F.when(F.length(rest) < REACH, rest).otherwise(F.regexp_replace(rest, f"{TERM}$", ""))
-    before = _terms(left, F.col("start") - F.length(left))
-    after = _terms(right, F.col("end"))
-    near = F.concat(F.slice(before, F.greatest(F.lit(1), F.size(before) - NEAR + 1), F.lit(NEAR)), F.slice(after, F.lit(1), F.lit(NEAR)))
-    rows = spans.select("doc_id", "th", entity(F.col("kind"), F.col("value")).alias("entity"), F.explode(near).alias("t"))
-    return rows.select("doc_id", "th", "entity", F.lower("t.word").alias("term"), "t.start", "t.end").where(F.length("term") >= LEAST_TERM)
+def term_spans(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """doc_id, th, start, end, share: every occurrence of a disclosing term, in all texts that hold one."""
+    shares = staged(told.groupBy("term").agg(F.max("share").alias("share")), "term-shares")
+    shares = small(shares, shares.count(), BROADCAST_TERMS)
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("th"), F.monotonically_increasing_id().alias("row"))
+    held = keyed.select("doc_id", "th", F.explode(F.array_distinct(_words(F.lower("text")))).alias("term")).join(shares, "term")
+    held = staged(held.select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th")).distinct(), "term-texts")
+    texts = keyed.join(small(held, held.count(), BROADCAST_TERMS), keyed["doc_id"].eqNullSafe(held["__doc"]) & (keyed["th"] == held["__th"]), "left_semi")
+    pairs = F.arrays_zip(F.split("text", TERM, -1).alias("gap"), _words(F.col("text")).alias("word"))
+    words = texts.select("doc_id", "th", "row", F.posexplode(pairs).alias("i", "w")).where(F.col("w.word").isNotNull())
+    end = F.sum(F.length("w.gap") + F.length("w.word")).over(Window.partitionBy("row").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = words.select("doc_id", "th", F.lower("w.word").alias("term"), F.length("w.word").alias("n"), end.alias("end")).join(shares, "term")
+    return placed.select("doc_id", "th", (F.col("end") - F.col("n")).alias("start"), "end", "share").distinct()
 
 
 def document_frequencies(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
@@ -181,9 +185,9 @@ def disclosures(docs: DataFrame, near: DataFrame) -> DataFrame:
 def all_spans(docs: DataFrame) -> DataFrame:
     """doc_id, th, and spans: start, place (the kind's in KINDS), end, kind and share (of terms) of each, in order."""
     base = staged(base_spans(docs), "base-spans")
-    near = staged(contexts(base), "contexts")
+    near = staged(contexts(docs, base), "contexts")
     told = staged(disclosures(docs, near), "disclosures")
-    terms = near.join(told, ["entity", "term"]).groupBy("doc_id", "th", "start", "end").agg(F.max("share").alias("share"))
+    terms = term_spans(docs, told)
     place = F.when(F.lit(False), 0)
     for i, kind in enumerate(KINDS):
         place = place.when(F.col("kind") == kind, i)

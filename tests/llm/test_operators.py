@@ -121,6 +121,16 @@ def test_op2_terms_that_disclose(spark):
     assert [s["kind"] for s in out[0]["spans"]] == ["email"] and out[100]["text"] == docs[-1][1]
 
 
+def test_op2_terms_are_counted_and_marked_by_document(spark):
+    docs = [(i, f"mail boss@corp.org now\nmore text\n{'word ' * 30}the Zanzibar office") for i in range(4)] + [(9, "zanzibar alone, ZANZIBAR again")]
+    docs += [(100 + i, "the office is open and has more text, so mail a word now") for i in range(60)]
+    out = {r["doc_id"]: r for r in pii.sanitise(spark.createDataFrame(docs, DOCS)).collect()}
+    text = dict(docs)
+    told = {i: [text[i][s["start"] : s["end"]] for s in out[i]["spans"] if s["kind"] == "term"] for i in text}
+    assert told[0] == ["Zanzibar"] and told[9] == ["zanzibar", "ZANZIBAR"] and told[100] == []
+    assert "zanzibar" not in out[9]["text"].lower() and "[EMAIL]" in out[0]["text"]
+
+
 def test_op3_finds_and_confirms(spark):
     docs = [
         (1, "words\nReleased under the MIT License.\nmore"), (2, "This work is licensed under the GNU General Public License, version 3."), (3, "This work is licensed under the GNU Affero General Public License, version 3."),
