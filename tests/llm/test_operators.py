@@ -237,6 +237,35 @@ def test_op5_links_copies_within_template_families(spark):
     assert got[0] != got[1] and got[100] != got[0]
 
 
+def test_op5_exact_join_of_a_meeting_finds_every_link():
+    rng = np.random.default_rng(8)
+    for trial in range(20):
+        base = rng.integers(0, 1 << 40, (3, 60), dtype=np.uint64)
+        sets = []
+        for i in range(40):
+            own = base[i % 3].copy()
+            cut = int(rng.integers(0, 25))
+            own[rng.permutation(60)[:cut]] = rng.integers(0, 1 << 40, cut, dtype=np.uint64)
+            sets.append(np.unique(own[: int(rng.integers(40, 61))]))
+        classes = np.arange(40) if trial % 2 else rng.integers(0, 12, 40)
+        weight = {int(e): 1 + float(rng.random()) for e in np.unique(np.concatenate(sets))}
+        doc = np.repeat(np.arange(40), [len(x) for x in sets])
+        element = np.concatenate(sets)
+        found = neardup.exact_links(classes, doc, element, np.array([weight[int(e)] for e in element]), 0.8)
+        want, got = neardup.Classes(classes), neardup.Classes(classes)
+        for i in range(40):
+            for j in range(i):
+                a, b = set(sets[i].tolist()), set(sets[j].tolist())
+                sums = [sum(weight[x] for x in part) for part in (a & b, a | b)]
+                if max(len(a & b) / len(a | b), sums[0] / sums[1]) >= 0.8:
+                    want.join(i, j)
+        for i, j, weighted, plain in found:
+            assert max(weighted, plain) >= 0.8
+            got.join(i, j)
+        same = lambda c: (c.of[:, None] == c.of[None, :])
+        assert (same(want) == same(got)).all()
+
+
 def test_op5_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 40), (40, 60)], "a long, b long")
     got = {r["doc_id"]: r["class_id"] for r in neardup.components(links).collect()}
