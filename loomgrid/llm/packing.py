@@ -2,11 +2,13 @@
 
 Round 0: each partition tokenises its documents, cuts the longer ones and packs its pieces best-fit decreasing, block
 by block of BLOCK pieces. Bins with a residue of at most `slack` tokens are final. The others become items of the next
-round, whole: they are dealt to groups of at most GROUP items and packed best-fit decreasing again, and the bins that
-are still underfull go on, over ever fewer groups, until one group has held all that were left.
+round, whole: they are dealt to groups of about `group` items and packed best-fit decreasing again, and the bins that are
+still underfull go on. As bins merge there are fewer groups in each round; one group holds all that are left only where
+these are no more than `group`. The rounds end there, or when one has merged fewer than one bin in STILL: what is left
+then does not fit together anywhere near it, and every bin stays a sequence of its own.
 
 Every round's table is written to the shared folder, so a bin's number is fixed once it is given. A row of a round is
-a bin, not a token, and a group has at most GROUP rows but for the chance of hashing.
+a bin, not a token, and a group has about `group` rows but for the chance of hashing.
 
 Defined results. Null and empty texts have the end mark as their only token. Rows that share a doc_id are packed each
 on their own. Other columns of documents do not matter.
@@ -34,7 +36,7 @@ END = 0
 SLACK = 4
 BLOCK = 1 << 16
 GROUP = 1 << 16
-FAN_IN = 8
+STILL = 200
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, at long"
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("bin", pa.int64()), ("at", pa.int64())])
@@ -117,26 +119,27 @@ def _merge(capacity: int):
     return run
 
 
-def merge_bins(bins: DataFrame, capacity: int, slack: int) -> DataFrame:
-    """bin, into, shift: the sequence that a bin of round 0 ends in, and where it begins there. Bins that stay alone are absent."""
+def merge_bins(bins: DataFrame, capacity: int, slack: int, group: int = GROUP) -> DataFrame | None:
+    """bin, into, shift: the sequence that a bin of round 0 ends in, and where it begins there. Bins that stay alone may be absent."""
     left = staged(bins.where(F.col("total") < capacity - slack), "bins")
-    n, moves = left.count(), None
-    groups = max(1, math.ceil(n / GROUP))
+    n, moves, turn = left.count(), None, 0
     while n > 1:
-        deal = F.pmod(F.xxhash64("bin", F.lit(groups)), F.lit(groups))
+        groups, turn = math.ceil(n / group), turn + 1
+        deal = F.pmod(F.xxhash64("bin", F.lit(turn)), F.lit(groups))
         step = staged(left.groupBy(deal.alias("deal")).applyInPandas(_merge(capacity), "bin long, into long, shift long, total long"), "bin-moves")
         moved = step.select("bin", "into", "shift")
         if moves is None:
             moves = moved
         else:
-            later = moved.select(F.col("bin").alias("into"), F.col("into").alias("last"), F.col("shift").alias("more"))
+            later = moved.where("bin <> into").select(F.col("bin").alias("into"), F.col("into").alias("last"), F.col("shift").alias("more"))
             moves = staged(
                 moves.join(later, "into", "left").select("bin", F.coalesce("last", "into").alias("into"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift")), "bin-moves"
             )
-        if groups == 1:
+        merged = step.where("bin <> into").count()
+        if groups == 1 or merged * STILL < n:
             break
         left = step.where((F.col("bin") == F.col("into")) & (F.col("total") < capacity - slack)).select("bin", "total")
-        n, groups = left.count(), max(1, groups // FAN_IN)
+        n = left.count()
     return moves
 
 

@@ -4,7 +4,9 @@ For tokenizers that drop white space, lower the case, split letters from other c
 public 49k word BPE does. A text is cut at ASCII white space, and between letters and other characters where both are
 plain: ASCII, and the Latin letters U+00C0 to U+027F but U+0130. A chunk with an apostrophe (contractions), with any other character
 beyond ASCII, or with `<|` (special tokens) is one piece. A piece is tokenised when it is first met; a worker keeps up
-to REMEMBERED pieces and then starts anew. Positions, hashes and the ids' assembly are whole-array operations.
+to half as many pieces as there are slots and then starts anew. Pieces are looked up in parts of a quarter of the slots,
+so a part always finds room, however many different pieces a text has. Positions, hashes and the ids' assembly are
+whole-array operations.
 """
 
 from __future__ import annotations
@@ -14,7 +16,6 @@ import pyarrow as pa
 
 from loomgrid.llm.textcodes import bytes_of, hashed, prefix_of
 
-REMEMBERED = 2_000_000
 SLOT_BITS = 22
 _AT_ONCE = 2000
 
@@ -35,13 +36,14 @@ def _not_letter(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 class Places:
     """Numbers of 64-bit keys, in open addressing with linear probing."""
 
-    def __init__(self):
-        self.keys = np.zeros(1 << SLOT_BITS, np.uint64)  # 0: empty
-        self.numbers = np.zeros(1 << SLOT_BITS, np.int32)
-        self.last = (1 << SLOT_BITS) - 1
+    def __init__(self, bits: int):
+        self.bits = bits
+        self.keys = np.zeros(1 << bits, np.uint64)  # 0: empty
+        self.numbers = np.zeros(1 << bits, np.int32)
+        self.last = (1 << bits) - 1
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        return (keys >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """-1 for what is not there."""
@@ -59,7 +61,7 @@ class Places:
         return out
 
     def add(self, keys: np.ndarray, numbers: np.ndarray) -> None:
-        """Distinct keys that are not there yet."""
+        """Distinct keys that are not there yet, fewer than there are free slots."""
         slot = self._slot(keys)
         while len(keys):
             free = self.keys[slot] == 0
@@ -70,9 +72,11 @@ class Places:
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, slot_bits: int = SLOT_BITS):
         from tokenizers import Tokenizer
 
+        self.slot_bits = slot_bits
+
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -80,7 +84,7 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.places, self.raw = Places(), {}
+        self.places, self.raw = Places(self.slot_bits), {}
         self.size = self.used = 0
         self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.pool = np.zeros(1 << 18, np.uint32)
@@ -146,19 +150,27 @@ class Encoder:
         leaves[:-1] |= inside[:-1] & ~inside[1:]
         ends = np.sort(np.concatenate([np.flatnonzero(leaves) + 1, turns]), kind="stable")
         is_whole = whole[np.searchsorted(chunks, starts, side="right") - 1] if whole.any() else np.zeros(len(starts), bool)
-        number = self._numbers(raw, kind, starts, ends, is_whole)
-        lengths = self.lengths[number]
-        until = np.concatenate([[0], np.cumsum(lengths)])
-        ids = self.pool[np.repeat(self.starts[number] - until[:-1], lengths) + np.arange(until[-1])]
-        return ids, until[np.searchsorted(starts, bounds)]
-
-    def _numbers(self, raw: np.ndarray, kind: np.ndarray, starts: np.ndarray, ends: np.ndarray, is_whole: np.ndarray) -> np.ndarray:
-        if self.size > REMEMBERED:
-            self.clear()
         folded = _FOLD[raw]
         keys = hashed(prefix_of(folded), starts, ends) | np.uint64(1)
+        text, small = raw.tobytes(), folded.tobytes()
+        ids, lengths, at_once = [], [], 1 << (self.slot_bits - 2)
+        for low in range(0, len(starts), at_once):
+            part = slice(low, low + at_once)
+            number = self._numbers(text, small, kind, keys[part], starts[part], ends[part], is_whole[part])
+            n = self.lengths[number]
+            until = np.cumsum(n)
+            ids.append(self.pool[np.repeat(self.starts[number] - (until - n), n) + np.arange(n.sum())])
+            lengths.append(n)
+        if not ids:
+            return np.zeros(0, np.uint32), np.zeros(len(bounds), np.int64)
+        until = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
+        return np.concatenate(ids), until[np.searchsorted(starts, bounds)]
+
+    def _numbers(self, text: bytes, folded: bytes, kind: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, is_whole: np.ndarray) -> np.ndarray:
+        """The entry of each piece; new ones are tokenised. Numbers hold until the next call."""
+        if self.size > 1 << (self.slot_bits - 1):
+            self.clear()
         number = self.places.find(keys).astype(np.int64)
-        text = raw.tobytes()
         at = np.flatnonzero(is_whole)
         if len(at):
             pieces = [text[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
@@ -171,8 +183,7 @@ class Encoder:
         if len(missing):
             new, first, back = np.unique(keys[missing], return_index=True, return_inverse=True)
             a, b = starts[missing][first], ends[missing][first]
-            text = folded.tobytes()
-            pieces = [text[x:y].decode() for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+            pieces = [folded[x:y].decode() for x, y in zip(a.tolist(), b.tolist(), strict=True)]
             words = kind[a] != _OTHER
             numbers = np.empty(len(new), np.int64)
             for of_words, ids in ((True, self._word_ids), (False, self._ids)):
