@@ -1,12 +1,14 @@
 """Exact deduplication of lines across documents.
 
-Every line has a key (stripped, A-Z lowered). Keys found in two documents or more are indexed by a sharded minimal
-perfect hash over their 128-bit hashes; the arrays beside it hold, by index, a 64-bit fingerprint, the number of
-lines and the smallest doc_id. Documents send the hashes of their lines to the shards and probe the arrays there.
-A line text never moves, and no two lines are joined.
+Every line has a key (stripped, A-Z lowered). The distinct keys of all documents are indexed by a sharded minimal perfect
+hash over their 128-bit hashes; the arrays beside it hold, by index, a 32-bit fingerprint, the number of documents (255
+at most) and the smallest doc_id. Documents send the hashes of their lines to the shards, probe the arrays there, and
+lose the lines whose count is beyond one and whose first document is another. A line text never moves, and no two lines
+are joined.
 
-Skew. A key with more than 1/HOT_SHARE of all lines is hot. There are fewer than HOT_SHARE hot keys by arithmetic, so
-their arrays are broadcast and probed where the lines are; what goes to a shard is rows of keys below that share.
+Skew. A shard is chosen by the key's hash, so a frequent key makes a large shard. Shards that more lines probe than
+LINES_A_SHARD, or than an even share, are repeated: their lines are dealt by doc_id to as many copies of the shard's one
+row as it takes. A shard has about KEYS_A_SHARD keys.
 
 Defined results. Null and empty texts are one empty line. Keys shorter than `least` code points are never dropped.
 Rows that share a doc_id are one document, so they do not make each other's lines repeated. Rows without a doc_id
@@ -24,15 +26,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.llm._shared import ascii_lower, staged
+from loomgrid.llm._shared import ascii_lower, small, staged
 from loomgrid.llm.mphf import PerfectHash
 
 #: What counts as white space at a line's ends (fixed values: space, and U+0009 to U+000D).
 BLANKS = " \t\n\x0b\x0c\r"
-HOT_SHARE = 4096
+#: Counts of documents are kept up to this.
+MOST = 255
 KEYS_A_SHARD = 1 << 17
 LINES_A_SHARD = 1 << 19
 LEAST_SHARDS = 64
+SMALL_SHARDS = 1_000_000
 
 _INDEX = "shard int, hash binary, fingerprints binary, counts binary, owners binary"
 
@@ -50,95 +54,68 @@ def lines_of(text: Column) -> Column:
 
 
 def line_hashes(docs: DataFrame, least: int) -> DataFrame:
-    """doc_id, h, f: two independent hashes of each line key that is long enough."""
-    key = line_key(F.col("line"))
-    return (
-        docs.where(F.col("doc_id").isNotNull())
-        .select("doc_id", F.explode(lines_of(F.col("text"))).alias("line"))
-        .select("doc_id", key.alias("key"))
-        .where(F.length("key") >= least)
-        .select("doc_id", _hash(F.col("key")).alias("h"), F.xxhash64(F.lit("line"), F.col("key")).alias("f"))
-    )
+    """doc_id, h, f: two independent hashes of each line key that is long enough, once a row."""
+    keys = F.filter(F.transform(lines_of(F.col("text")), line_key), lambda k: F.length(k) >= least)
+    hashes = F.array_distinct(F.transform(keys, lambda k: F.struct(_hash(k).alias("h"), F.xxhash64(F.lit("line"), k).alias("f"))))
+    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.explode(hashes).alias("x")).select("doc_id", "x.h", "x.f")
 
 
-def repeated_keys(lines: DataFrame) -> DataFrame:
-    return (
-        lines.groupBy("h", "f")
-        .agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
-        .where("owner < last")
-        .drop("last")
-    )
+def distinct_keys(lines: DataFrame) -> DataFrame:
+    """h, f, owner (the smallest doc_id) and n (documents) of every key."""
+    return lines.groupBy("h", "f").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n"))
 
 
-def _arrays(rows: pd.DataFrame) -> tuple[PerfectHash, np.ndarray, np.ndarray, np.ndarray]:
+def _build_shard(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     h, f = rows["h"].to_numpy(np.int64).view(np.uint64), rows["f"].to_numpy(np.int64).view(np.uint64)
     perfect = PerfectHash.build(h, f)
     at = perfect.index(h, f)
-    prints, counts, owners = (np.empty(len(rows), t) for t in (np.uint64, np.int64, np.int64))
-    prints[at], counts[at], owners[at] = f, rows["n"].to_numpy(np.int64), rows["owner"].to_numpy(np.int64)
-    return perfect, prints, counts, owners
-
-
-def _build_shard(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    perfect, prints, counts, owners = _arrays(rows)
+    prints, counts, owners = np.empty(len(rows), np.uint32), np.empty(len(rows), np.uint8), np.empty(len(rows), np.int64)
+    prints[at], counts[at], owners[at] = _fingerprint(f), np.minimum(rows["n"].to_numpy(np.int64), MOST), rows["owner"].to_numpy(np.int64)
     return pd.DataFrame([[key[0], perfect.to_bytes(), prints.tobytes(), counts.tobytes(), owners.tobytes()]], columns=["shard", "hash", "fingerprints", "counts", "owners"])
 
 
-def build_index(keys: DataFrame, shards: int) -> DataFrame:
-    """One row a shard: the perfect hash and its arrays of fingerprints, counts and owners."""
-    return keys.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(_build_shard, _INDEX)
-
+def _fingerprint(f: np.ndarray) -> np.ndarray:
+    return (f >> np.uint64(32)).astype(np.uint32)
 
-def _probe(perfect: PerfectHash, prints: np.ndarray, owners: np.ndarray, h: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each key is a member, and its owner if so."""
-    if not len(prints):
-        return np.zeros(len(h), bool), np.zeros(len(h), np.int64)
-    at = perfect.index(h.view(np.uint64), f.view(np.uint64))
-    member = (at >= 0) & (prints[at] == f.view(np.uint64))
-    return member, owners[at]
 
+def _shard(h: Column, shards: int) -> Column:
+    return F.pmod(h, F.lit(shards)).cast("int").alias("shard")
 
-_ROUTED = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("f", pa.int64()), ("drop", pa.bool_())])
-_DROPPED = pa.schema([("doc_id", pa.int64()), ("h", pa.int64())])
 
+def build_index(keys: DataFrame, shards: int) -> DataFrame:
+    """One row a shard: the perfect hash and its arrays of fingerprints, counts and owners."""
+    return keys.withColumn("shard", _shard(F.col("h"), shards)).groupBy("shard").applyInPandas(_build_shard, _INDEX)
 
-def _hot_prober(hot):
-    def probe(batches):
-        perfect, prints, _, owners = hot.value
-        for batch in batches:
-            doc, h, f = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "h", "f"))
-            member, owner = _probe(perfect, prints, owners, h, f)
-            stay = ~member | (owner != doc)
-            yield pa.RecordBatch.from_arrays([pa.array(x[stay]) for x in (doc, h, f, member)], schema=_ROUTED)
 
-    return probe
+_DROPPED = pa.schema([("doc_id", pa.int64()), ("h", pa.int64())])
 
 
-def _shard_probe(lines: pa.Table, index: pa.Table) -> pa.Table:
-    doc, h, f, drop = (lines.column(c).to_numpy() for c in ("doc_id", "h", "f", "drop"))
-    drop = drop.astype(bool)
-    if index.num_rows:
+def _probe(lines: pa.Table, index: pa.Table) -> pa.Table:
+    """The lines of one shard that their documents lose."""
+    doc, h, f = (lines.column(c).to_numpy() for c in ("doc_id", "h", "f"))
+    drop = np.zeros(len(doc), bool)
+    if index.num_rows and len(doc):
         row = index.slice(0, 1).to_pylist()[0]
-        perfect = PerfectHash.from_bytes(row["hash"])
-        member, owner = _probe(perfect, np.frombuffer(row["fingerprints"], np.uint64), np.frombuffer(row["owners"], np.int64), h, f)
-        drop = drop | (member & (owner != doc))
+        prints, counts, owners = np.frombuffer(row["fingerprints"], np.uint32), np.frombuffer(row["counts"], np.uint8), np.frombuffer(row["owners"], np.int64)
+        at = PerfectHash.from_bytes(row["hash"]).index(h.view(np.uint64), f.view(np.uint64))
+        drop = (at >= 0) & (prints[at] == _fingerprint(f.view(np.uint64))) & (counts[at] > 1) & (owners[at] != doc)
     return pa.Table.from_arrays([pa.array(doc[drop]), pa.array(h[drop])], schema=_DROPPED)
 
 
 def dropped_lines(docs: DataFrame, least: int = 10) -> DataFrame:
     """doc_id and drop, the hashes of the line keys that the document loses; documents that lose none are absent."""
-    spark = docs.sparkSession
     lines = staged(line_hashes(docs, least), "line-hashes")
-    keys = staged(repeated_keys(lines), "line-keys")
+    keys = staged(distinct_keys(lines), "line-keys")
     n_lines, n_keys = lines.count(), keys.count()
-    hot_from = n_lines // HOT_SHARE + 1
-    hot = spark.sparkContext.broadcast(_arrays(keys.where(F.col("n") >= hot_from).toPandas()))
     shards = max(LEAST_SHARDS, math.ceil(n_keys / KEYS_A_SHARD), math.ceil(n_lines / LINES_A_SHARD))
-    index = build_index(keys.where(F.col("n") < hot_from), shards)
-    routed = lines.mapInArrow(_hot_prober(hot), "doc_id long, h long, f long, drop boolean").withColumn(
-        "shard", F.pmod(F.when(F.col("drop"), F.xxhash64("doc_id")).otherwise(F.col("h")), F.lit(shards)).cast("int")
-    )
-    drops = routed.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(_shard_probe, "doc_id long, h long")
+    index = staged(build_index(keys, shards), "line-index")
+    even = math.ceil(n_lines / shards) + 1
+    probes = keys.groupBy(_shard(F.col("h"), shards)).agg(F.sum("n").alias("lines"))
+    copies = staged(probes.select("shard", F.ceil(F.col("lines") / min(LINES_A_SHARD, even)).cast("int").alias("copies")), "line-shards")
+    copies = small(copies, shards, SMALL_SHARDS)
+    dealt = lines.withColumn("shard", _shard(F.col("h"), shards)).join(copies, "shard").withColumn("copy", F.pmod(F.xxhash64("doc_id"), F.col("copies")).cast("int"))
+    repeated = index.join(copies, "shard").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    drops = dealt.select("doc_id", "h", "f", "shard", "copy").groupBy("shard", "copy").cogroup(repeated.groupBy("shard", "copy")).applyInArrow(_probe, "doc_id long, h long")
     return drops.groupBy("doc_id").agg(F.collect_set("h").alias("drop"))
 
 
