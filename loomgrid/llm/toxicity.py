@@ -5,8 +5,10 @@ sentences is: 1 - prod(1 - p). The likelihood of the document labels under this
 model finds the offending sentences itself. Features are the sentence's words and their first letters, hashed into FEATURES
 weights of fixed size.
 
-Training takes a bounded sample of labelled rows: at most SAMPLE a class, in the order of a hash of doc_id, of at most
-SAMPLE_LENGTH characters. Scoring reads every whole text in one pass, without a shuffle.
+Training takes a bounded sample of labelled rows: at most SAMPLE a class, in the order of a hash of doc_id, whole texts
+of any length, as many as fit SAMPLE_CHARS characters a class. The likelihood's slope is summed block by block of
+documents, so beside the sample's features only a block's sums are held, and training stops when STILL rounds gain less
+than GAIN of the likelihood. Scoring reads every whole text in one pass, without a shuffle.
 
 Defined results. Null, empty and wordless texts have no sentence and the score 0. Labels other than 0 and 1, null
 labels and labels without a document do not train. If doc_ids repeat, a document has each of its labels. Other columns
@@ -30,8 +32,11 @@ from loomgrid.llm.textcodes import Words, slices, words_in
 FEATURES = 1 << 18
 HEADS = (3, 4, 5)
 SAMPLE = 3000
-SAMPLE_LENGTH = 20_000
+SAMPLE_CHARS = 24_000_000
 ROUNDS = 150
+STILL, GAIN = 10, 0.003
+#: Features of a block of documents that are summed at once.
+BLOCK = 1 << 19
 RATE = 0.1
 #: The weights' absolute values cost PENALTY each; features in fewer sampled documents than LEAST have none.
 PENALTY = 1e-4
@@ -72,7 +77,7 @@ def noisy_or(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
 
 
 def _features_of(texts: pa.Array, common: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By slice of texts: each sentence's text, and pairs of a sentence and a feature (of the common ones)."""
+    """By slice of texts: each sentence's text, and pairs of a sentence and a feature (of the common ones, then by sentence)."""
     n_sentences = 0
     for low, high in slices(texts):
         words = words_in(texts.slice(low, high - low))
@@ -80,12 +85,28 @@ def _features_of(texts: pa.Array, common: np.ndarray | None = None) -> Iterator[
         owner, feature = features(words, sentence)
         if common is not None:
             owner, feature = owner[common[feature]], feature[common[feature]]
+            order = np.argsort(owner, kind="stable")
+            owner, feature = owner[order], feature[order]
         yield (doc + low).astype(np.int32), (owner + n_sentences).astype(np.int32), feature.astype(np.int32)
         n_sentences += len(doc)
 
 
+def _blocks(doc: np.ndarray, owner: np.ndarray, n: int) -> list[tuple[slice, slice, slice]]:
+    """Ranges of documents, their sentences and their features, of about BLOCK features or one document."""
+    sentence_ends = np.searchsorted(doc, np.arange(1, n + 1))
+    pair_ends = np.searchsorted(owner, sentence_ends)
+    out, low = [], 0
+    while low < n:
+        begin = pair_ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(pair_ends, begin + BLOCK, side="right")))
+        first = (int(sentence_ends[low - 1]), int(begin)) if low else (0, 0)
+        out.append((slice(low, high), slice(first[0], int(sentence_ends[high - 1])), slice(first[1], int(pair_ends[high - 1]))))
+        low = high
+    return out
+
+
 def train(texts: pa.Array, labels: np.ndarray, shares: tuple[float, float] = (1.0, 1.0)) -> Model:
-    """Proximal Adam on the likelihood of the labels under the noisy-or, over the whole sample in each round.
+    """Proximal Adam on the likelihood of the labels under the noisy-or, over the whole sample, block by block, in each round.
 
     shares: how many labelled documents a sampled one stands for, by label. The texts are read twice, first for the
     features' document counts, so only those of common features are held.
@@ -110,12 +131,24 @@ def train(texts: pa.Array, labels: np.ndarray, shares: tuple[float, float] = (1.
     del feature
     value, moment, square = np.zeros(len(used) + 1), np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     value[-1] = model.bias
+    blocks = _blocks(doc, owner, n)
+    losses: list[float] = []
     for step in range(1, ROUNDS + 1):
-        z = value[-1] + np.bincount(owner, value[column], minlength=len(doc))
-        p = np.clip(1 / (1 + np.exp(-np.clip(z, -60, 60))), 1e-12, 1 - 1e-9)
-        none = np.exp(np.bincount(doc, np.log1p(-p), minlength=n))
-        pull = (weight * ((1 - y) - y * none / np.maximum(1 - none, 1e-9)))[doc] * p
-        slope = np.append(np.bincount(column, pull[owner], minlength=len(used)), pull.sum())
+        slope, loss = np.zeros(len(used) + 1), 0.0
+        for docs_, sentences_, pairs in blocks:
+            of, own, columns, n_own = doc[sentences_] - docs_.start, owner[pairs] - sentences_.start, column[pairs], docs_.stop - docs_.start
+            z = value[-1] + np.bincount(own, value[columns], minlength=len(of))
+            p = np.clip(1 / (1 + np.exp(-np.clip(z, -60, 60))), 1e-12, 1 - 1e-9)
+            log_none = np.bincount(of, np.log1p(-p), minlength=n_own)
+            none, label, w = np.exp(log_none), y[docs_], weight[docs_]
+            some = np.maximum(1 - none, 1e-9)
+            loss -= float((w * np.where(label == 1, np.log(some), log_none)).sum())
+            pull = (w * ((1 - label) - label * none / some))[of] * p
+            slope[:-1] += np.bincount(columns, pull[own], minlength=len(used))
+            slope[-1] += pull.sum()
+        losses.append(loss)
+        if step > STILL and losses[-STILL - 1] - loss < GAIN * losses[-STILL - 1]:
+            break
         moment, square = 0.9 * moment + 0.1 * slope, 0.99 * square + 0.01 * slope * slope
         pace = RATE / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
         value -= pace * moment / (1 - 0.9**step)
@@ -124,19 +157,25 @@ def train(texts: pa.Array, labels: np.ndarray, shares: tuple[float, float] = (1.
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model:
     """The model of the labelled documents outside the held-out fold."""
     marked = labels.where(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("label")).where(fold_of(F.col("doc_id")) != 0)
-    texts = docs.select("doc_id", "text").where((F.length("text") <= SAMPLE_LENGTH) & (fold_of(F.col("doc_id")) != 0))
+    texts = docs.select("doc_id", "text").where(fold_of(F.col("doc_id")) != 0)
     order = F.xxhash64("doc_id", F.lit("toxicity"))
-    candidates = staged(texts.select("doc_id").join(marked, "doc_id").distinct(), "labelled")
+    sized = texts.groupBy("doc_id").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("n"))
+    candidates = staged(sized.join(marked, "doc_id").distinct(), "labelled")
     chosen, shares = [], []
     for label in (0, 1):
-        own = candidates.where(F.col("label") == label)
-        chosen.append([r[0] for r in own.orderBy(order, "doc_id").limit(sample).collect()])
-        shares.append(own.count() / max(1, len(chosen[-1])))
+        own, left = [], chars
+        of_label = candidates.where(F.col("label") == label)
+        for id_, n in of_label.orderBy(order, "doc_id").select("doc_id", "n").limit(sample).collect():
+            if n <= left:
+                own.append(id_)
+                left -= n
+        chosen.append(own)
+        shares.append(of_label.count() / max(1, len(own)))
     wanted = docs.sparkSession.createDataFrame([(x, y) for y, ids in enumerate(chosen) for x in ids], "doc_id long, label int")
-    rows = texts.join(F.broadcast(wanted), "doc_id").toArrow()  # at most 2 * sample rows of SAMPLE_LENGTH characters
+    rows = texts.join(F.broadcast(wanted), "doc_id").toArrow()  # at most 2 * sample rows and 2 * chars characters
     rows = rows.sort_by([("doc_id", "ascending"), ("label", "ascending"), ("text", "ascending")])
     return train(rows.column("text").combine_chunks(), rows.column("label").to_numpy(), tuple(shares))
 
