@@ -201,7 +201,8 @@ def holders(docs: DataFrame, told: DataFrame) -> DataFrame:
     bits = told.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or(one).alias("bits"))  # at most FILTER_WORDS rows
     tokens = docs.select("doc_id", F.xxhash64("text").alias("th"), F.explode(_words(F.col("text"))).alias("term")).withColumns({"word": word, "bit": bit})
     passed = tokens.join(F.broadcast(bits), "word").where(F.col("bits").bitwiseAND(one) != 0)
-    return passed.select("doc_id", "th", "term").join(told.select("term"), "term", "left_semi").select("doc_id", "th").distinct()
+    # an inner join: a semi join would be moved before the bit table's
+    return passed.select("doc_id", "th", "term").join(told.select("term").distinct(), "term").select("doc_id", "th").distinct()
 
 
 def term_spans(docs: DataFrame, told: DataFrame) -> DataFrame:
