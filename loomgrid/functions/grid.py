@@ -22,7 +22,7 @@ NULL_WORDS = ["none", "null", "n/a", "nan"]
 COST_TIERS = {"LOW": 75, "MEDIUM": 350, "HIGH": 1200, "VERY_HIGH": 3500, "PHONE_CALL": 35, "EDIARY": 10, "INFUSION": 2500, "BIOPSY": 4000}
 ABBREVIATIONS = ["cci", "psrt", "sae", "sap", "srr", "soe", "teae", "uloq", "usp", "ve", "who", "s", "s-2p", "mild", "moderate", "severe", "none", "header", "fold rise", "ia1 35%", "ia2 70%"]
 NOISE_STARTS = [
-    "amendment [0-9]+", "original protocol", "sections? [0-9]+", "appendix [0-9]+", "synopsis", "table [0-9]+", "title page", "header$", "abbreviation", "estimand", "objective",
+    "amendment [0-9]+", "original protocol", "section [0-9]+", "sections [0-9]+[.][0-9]+", "appendix [0-9]+", "synopsis", "table [0-9]+", "title page", "header$", "abbreviation", "estimand", "objective",
     "primary endpoint", "secondary endpoint", "exploratory objective", "long-term endpoint", "to evaluate", "to assess", "to demonstrate", "to conduct", "to infer", "cases of",
     "regardless of evidence", "part [a-z][0-9]?:", "all participants", "blinded participants", "unblinded participants", "placebo participants", "mrna-[0-9]+ participants",
     "participants who", "supplemental schedule", "modified supplemental", "section # and name", "continue with original", "counselling the importance", "true ve", "target ve",
@@ -37,7 +37,7 @@ LAST_ROW, LAST_COLUMN = 500, 200
 
 
 def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
+    return reduce(lambda a, b: a | b, conditions) if conditions else F.lit(False)
 
 
 def vote_value(raw: Column) -> Column:
@@ -106,7 +106,7 @@ def is_not_procedure(name: Column, patterns: list[str]) -> Column:
 def compound_terms(name: Column) -> Column:
     """The parts of a row name such as `ICF, demographics, vital signs`, or the name alone if it is one procedure."""
     parts = F.filter(F.transform(F.split(name, ","), lambda t: F.trim(t)), lambda t: F.length(t) >= 3)
-    joins = F.exists(F.slice(parts, 2, 1000), lambda t: t.rlike("(?i)leading to|relevant to|and |or "))
+    joins = F.exists(F.slice(parts, F.lit(2), F.size(parts)), lambda t: t.rlike("(?i)leading to|relevant to|and |or "))
     return F.when((F.size(parts) >= 2) & ~F.exists(parts, lambda t: F.length(t) > 60) & ~joins, parts).otherwise(F.array(name))
 
 
@@ -147,3 +147,25 @@ def token_overlap(a: Column, b: Column) -> Column:
     words = lambda x: F.array_distinct(F.filter(F.split(F.lower(x), "[^a-z0-9]+"), lambda w: F.length(w) > 1))
     union = F.size(F.array_union(words(a), words(b)))
     return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(words(a), words(b))) / union)
+
+
+#: Raised letters, and words that a raised letter has run into, with what they are (fixed values).
+RAISED = {"ᵃ": "a", "ᵇ": "b", "ᶜ": "c", "ᵈ": "d", "ᵉ": "e", "ᶠ": "f", "ᵍ": "g", "ʰ": "h"}
+RUN_INTO = {
+    "assessmente": "assessment", "assessmenta": "assessment", "assessmentd": "assessment", "appropriateb": "appropriate", "appropriated": "appropriate", "informationd": "information", "administrationf": "administration",
+    "datesf": "dates", "resultsf": "results", "typingc": "typing", "typinge": "typing", "isolationc": "isolation", "isolatione": "isolation", "swab(s)c": "swab(s)",
+}
+
+
+def without_markers(text: Column) -> Column:
+    """STRUCT<value, markers>: a name without the raised letter at its end and without one that has run into its last word."""
+    raised = F.when(text.rlike(f"[{''.join(RAISED)}]$"), F.translate(F.right(text, F.lit(1)), "".join(RAISED), "".join(RAISED.values())))
+    bare = F.when(raised.isNotNull(), F.left(text, F.length(text) - 1)).otherwise(text)
+    suffix, clean = F.when(F.lit(False), ""), F.when(F.lit(False), "")
+    for end, word in RUN_INTO.items():
+        hit = F.lower(bare).endswith(end)
+        suffix, clean = suffix.when(hit, end), clean.when(hit, word)
+    n = F.length(suffix) - F.length(clean)
+    run = F.when(suffix.isNotNull(), F.lower(F.right(bare, n)))
+    value = F.when(suffix.isNotNull(), F.concat(F.left(bare, F.length(bare) - F.length(suffix)), clean)).otherwise(bare)
+    return F.struct(value.alias("value"), F.filter(F.array(raised, run), lambda x: x.isNotNull()).alias("markers"))

@@ -11,7 +11,10 @@ BULLET = r"^\s*[-*]\s+(.+)$"
 NUMBERED = r"^\s*[0-9]{1,3}[.)]\s+(.+)$"
 SECTION = r"^([0-9]{1,2}(?:\.[0-9]{1,3}){0,4})\.?\s+([A-Z][A-Za-z\s,/&():;'\"-]+)"
 TOC = r"([0-9]{1,2}(?:\.[0-9]{1,3}){0,4})\.?\s+([A-Za-z][A-Za-z\s,/&()-]+?)\s*[.·_-]{3,}\s*([0-9]{1,4})\s*$"
+SECTION_LETTER = r"^([A-Z](?:\.[0-9]{1,3}){0,3})\.?\s+([A-Z][A-Za-z\s,/&():;'\"-]+)"
+SECTION_ROMAN = r"^((?:IX|IV|V?I{1,3}|VI{1,3}|X{1,3})(?:\.[0-9]{1,3}){0,3})\.?\s+([A-Z][A-Za-z\s,/&():;'\"-]+)"
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
+MONTH_WORDS = r"(?i)^(january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sep|oct|nov|dec)(\s|$)"
 MATH = "=±×÷√∑∏∫≤≥≠≈∈∞αβγδεζηθλμσφχψω²³⁻¹"
 EQUATION_SIGNS = [r"[=≈≤≥]", r"[±√∑∏∫]", r"[αβγδσμ]", r"\^[0-9{]", r"_[0-9{]", r"\\frac", r"\bexp\b", r"\blog\b", r"\bln\b", r"[²³⁻¹⁺]", r"\bCI\s*=", r"\bn\s*=", r"\bHR\s*=", r"\bp\s*[<>=]", r"Z[_α]"]
 DOMAINS = {
@@ -64,6 +67,14 @@ def escape_html(text: Column) -> Column:
     return text
 
 
+def section_heading(line: Column) -> Column:
+    """STRUCT<number, title> of a numbered, lettered or roman heading; null for dates and titles of fewer than three letters."""
+    patterns = [SECTION, SECTION_LETTER, SECTION_ROMAN]
+    number, title = (F.coalesce(*[F.when(line.rlike(p), F.regexp_extract(line, p, k)) for p in patterns]) for k in (1, 2))
+    title = F.trim(F.regexp_replace(title, r"[ \t\n\r\f]+$", ""))
+    return F.when(number.isNotNull() & ~title.rlike(MONTH_WORDS) & (F.length(title) >= 3), F.struct(number.alias("number"), title.alias("title")))
+
+
 def parent_number(number: Column) -> Column:
     return F.when(F.contains(number, F.lit(".")), F.regexp_replace(number, r"\.[^.]+$", ""))
 
@@ -84,9 +95,9 @@ def base_title(title: Column) -> Column:
 
 
 def fingerprint(text: Column) -> Column:
-    """A header or footer's text without its page number."""
-    v = F.regexp_replace(F.lower(F.trim(text)), r"page\s*[0-9]+(\s*of\s*[0-9]+)?", "page")
-    return F.trim(F.regexp_replace(v, r"[0-9]+$", ""))
+    """A header or footer's text in small letters without its page number, white space collapsed."""
+    v = F.regexp_replace(F.lower(F.trim(text)), r"\bpage\s*[0-9]+\b", "")
+    return F.trim(F.regexp_replace(v, r"[ \t\n\r\f]+", " "))
 
 
 def slug(text: Column) -> Column:
@@ -102,8 +113,9 @@ def looks_like_equation(text: Column) -> Column:
 def auto_link(text: Column) -> Column:
     """References to sections, tables, figures and appendices as links."""
     for word, number in (("section", r"[0-9]{1,2}(?:\.[0-9]{1,3}){0,4}"), ("table", r"[0-9]{1,3}(?:\.[0-9]{1,2})?"), ("figure", r"[0-9]{1,3}(?:\.[0-9]{1,2})?"), ("appendix", r"[A-Z0-9]{1,3}")):
-        text = F.regexp_replace(text, rf"(^|[^\"\w])([{word[0].upper()}{word[0]}]{word[1:]}\s+)({number})", rf'$1<a href="#{word}-$3" class="cross-ref">$2$3</a>')
-    return F.regexp_replace(text, r"(^|[^\"\w=])(https?://[^\s<>\"')\]]+)", '$1<a href="$2" class="external-link">$2</a>')
+        link = rf'$1<a href="#{word}-$3" class="cross-ref" data-ref-type="{word}" data-ref="$3">$2$3</a>'
+        text = F.regexp_replace(text, rf"(^|[^\"\w])([{word[0].upper()}{word[0]}]{word[1:]}\s+)({number})", link)
+    return F.regexp_replace(text, r"(^|[^\"\w=])(https?://[^\s<>\"')\]]+)", '$1<a href="$2" target="_blank" rel="noopener" class="external-link">$2</a>')
 
 
 def color_parts(color: Column) -> Column:
@@ -112,9 +124,57 @@ def color_parts(color: Column) -> Column:
     return F.struct(byte(16).alias("r"), byte(8).alias("g"), byte(0).alias("b"))
 
 
-def css_color(style: Column) -> Column:
-    """The packed colour of a #rrggbb in a style text."""
-    return F.conv(F.regexp_extract(style, r"color\s*:\s*#([0-9a-fA-F]{6})", 1), 16, 10).try_cast("int")
+#: Named colours, packed (fixed values).
+COLORS = {
+    "black": 0x000000, "white": 0xFFFFFF, "red": 0xFF0000, "green": 0x008000, "blue": 0x0000FF, "yellow": 0xFFFF00, "gray": 0x808080, "grey": 0x808080, "orange": 0xFFA500, "purple": 0x800080, "navy": 0x000080,
+    "teal": 0x008080,
+}
+#: What a font's name loses for its family, in this order (fixed values).
+FONT_SUFFIXES = ["-Bold", "-Italic", "-BoldItalic", "MT", "PS", ",Bold", ",Italic", ",BoldItalic", "-Regular"]
+DEFAULT_SIZE = 12.0
+
+
+def css_value(style: Column, name: str) -> Column:
+    """The last value that a style text gives to the property, or null."""
+    pairs = F.filter(F.split(style, ";"), lambda d: F.contains(d, F.lit(":")))
+    own = F.filter(pairs, lambda d: F.lower(F.trim(F.split_part(d, F.lit(":"), F.lit(1)))) == name)
+    return F.when(F.size(own) > 0, F.trim(F.regexp_replace(F.element_at(own, -1), "^[^:]*:", "")))
+
+
+def css_color(value: Column) -> Column:
+    """The packed colour of #rrggbb, #rgb, rgb(r, g, b) or a name; else null."""
+    v = F.lower(F.trim(value))
+    part = lambda i: F.regexp_extract(v, r"^rgb\(\s*([0-9]+)\s*,\s*([0-9]+)\s*,\s*([0-9]+)\s*\)$", i).try_cast("int")
+    six = F.conv(F.regexp_extract(v, "^#([0-9a-f]{6})$", 1), 16, 10).try_cast("int")
+    three = F.conv(F.regexp_replace(F.regexp_extract(v, "^#([0-9a-f]{3})$", 1), "(.)", "$1$1"), 16, 10).try_cast("int")
+    named = F.create_map(*[F.lit(x) for kv in COLORS.items() for x in kv])
+    return F.when(v.rlike("^#[0-9a-f]{6}$"), six).when(v.rlike("^#[0-9a-f]{3}$"), three).when(v.startswith("rgb("), F.shiftleft(part(1), 16).bitwiseOR(F.shiftleft(part(2), 8)).bitwiseOR(part(3))).otherwise(F.try_element_at(named, v))
+
+
+def css_size(value: Column) -> Column:
+    """A font size in points; em and rem are of the default size."""
+    v = F.lower(F.trim(value))
+    n = lambda unit: F.regexp_extract(v, rf"^([0-9.]+)\s*{unit}$", 1).try_cast("double")
+    return F.coalesce(n("pt"), n("px") * 0.75, n("em") * DEFAULT_SIZE, n("rem") * DEFAULT_SIZE)
+
+
+def font_family(name: Column) -> Column:
+    for suffix in FONT_SUFFIXES:
+        name = F.replace(name, F.lit(suffix), F.lit(""))
+    return F.trim(name)
+
+
+#: Signs that begin an item within a table cell (fixed values).
+CELL_BULLETS = "\u25a0\u25aa\u25cf\u2022\u2023\u25e6\u2043\uf0b7\uf0a7\u25cb"
+
+
+def cell_html(text: Column) -> Column:
+    """A cell's text as HTML: items after bullets as a list, lines by line breaks."""
+    safe = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    parts = lambda pattern: F.filter(F.transform(F.split(safe, pattern), lambda x: F.btrim(x, F.lit(" \t\n\r\f"))), lambda x: x != "")
+    items, lines_ = parts(f"[{CELL_BULLETS}]\\s*"), parts("\n")
+    listed = F.concat(F.lit("<ul>"), F.array_join(F.transform(items, lambda x: F.concat(F.lit("<li>"), x, F.lit("</li>"))), ""), F.lit("</ul>"))
+    return F.when(safe.rlike(f"[{CELL_BULLETS}]") & (F.size(items) > 1), listed).when(safe.contains("\n") & (F.size(lines_) > 1), F.array_join(lines_, "<br>")).otherwise(safe)
 
 
 def fill_placeholders(text: Column, values: Column) -> Column:

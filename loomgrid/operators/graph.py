@@ -126,3 +126,39 @@ def hops(edges: DataFrame, kinds: list[str]) -> DataFrame:
         step = edges.where(F.col("kind") == kind).select(F.col("src").alias("end"), F.col("dst").alias("next"))
         path = path.join(step, "end").select("start", F.col("next").alias("end"))
     return path
+
+
+def fired(rows: DataFrame, rules: list[tuple[str, int, dict[str, Column]]]) -> tuple[DataFrame, DataFrame]:
+    """rows after all rules (name, priority, new values) in order of priority, and rule, n_changed of those that changed a row.
+
+    Each rule leaves a flag in the rows, so one pass over them gives both.
+    """
+    flags = []
+    for name, _, values in sorted(rules, key=lambda r: r[1]):
+        changed = F.lit(False)
+        for column, value in values.items():
+            changed = changed | ~value.eqNullSafe(F.col(column))
+        flag = f"__fired_{len(flags)}"
+        rows = rows.withColumns({**values, flag: changed})
+        flags.append((flag, name))
+    each = F.array(*[F.when(F.col(f), F.lit(n)) for f, n in flags])
+    log = rows.select(F.explode(each).alias("rule")).where("rule IS NOT NULL").groupBy("rule").agg(F.count("*").alias("n_changed"))
+    return rows.drop(*[f for f, _ in flags]), log
+
+
+def typed_graph(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (doc_id, kind, key, name) and edges (doc_id, kind, src, dst) of schedules. cells: doc_id, row_ix, col_ix, raw_value, visit, procedure.
+
+    Visits and procedures of a document are one node for a name in small letters; the first name by its letters is shown.
+    Entries are the cells with a mark.
+    """
+    key = lambda c: F.lower(F.trim(c))
+    marked = cells.where(F.trim("raw_value") != "").withColumn("entry", F.concat_ws(":", F.col("row_ix").cast("string"), F.col("col_ix").cast("string")))
+    of = lambda kind, c: cells.where(F.trim(c) != "").groupBy("doc_id", key(c).alias("key")).agg(F.min(c).alias("name")).select("doc_id", F.lit(kind).alias("kind"), "key", "name")
+    visits, procedures = of("Visit", "visit"), of("Procedure", "procedure")
+    document = cells.select("doc_id").distinct().select("doc_id", F.lit("Document").alias("kind"), F.col("doc_id").cast("string").alias("key"), F.col("doc_id").cast("string").alias("name"))
+    entries = marked.groupBy("doc_id", "entry").agg(F.min("raw_value").alias("name")).select("doc_id", F.lit("ScheduleEntry").alias("kind"), F.col("entry").alias("key"), "name")
+    has = lambda nodes, kind: nodes.select("doc_id", F.lit(kind).alias("kind"), F.col("doc_id").cast("string").alias("src"), F.col("key").alias("dst"))
+    to = lambda kind, c: marked.select("doc_id", F.lit(kind).alias("kind"), F.col("entry").alias("src"), key(c).alias("dst"))
+    edges = has(visits, "HAS_VISIT").unionByName(has(procedures, "HAS_PROCEDURE")).unionByName(to("SCHEDULED_AT", "visit")).unionByName(to("OF_PROCEDURE", "procedure"))
+    return document.unionByName(visits).unionByName(procedures).unionByName(entries), edges

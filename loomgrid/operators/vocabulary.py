@@ -14,6 +14,11 @@ from loomgrid.functions.grid import SUPERSCRIPTS, similarity, token_overlap
 
 LEAST_PREFIX, LEAST_WORD = 5, 3
 BROADCAST_ALIASES = 50_000
+#: Terms that name a procedure wherever they stand as whole words, and the alias that they stand for, in order (fixed values).
+KEY_TERMS = [
+    ("ecg", "ecg"), ("electrocardiogram", "ecg"), ("mri", "mri"), ("ct scan", "ct scan"), ("ct ", "ct scan"), ("pet", "pet/ct"), ("biopsy", "tumor biopsy"), ("x-ray", "x-ray"), ("xray", "x-ray"), ("spirometry", "spirometry"),
+    ("echocardiogram", "echocardiogram"),
+]
 
 
 def aliases_of(vocabulary: DataFrame) -> DataFrame:
@@ -60,12 +65,21 @@ def word_matches(names: DataFrame, aliases: DataFrame) -> DataFrame:
     return best.select("raw_name", "cleaned", "entry_ix", F.lit("word_match").alias("method"), F.lit(0.8).alias("score"))
 
 
+def key_term_matches(names: DataFrame, aliases: DataFrame) -> DataFrame:
+    """The first of KEY_TERMS that stands in the name as whole words and whose alias the vocabulary has."""
+    low = F.lower("cleaned")
+    terms = F.array(*[F.when(low.rlike(rf"\b{t}\b"), F.struct(F.lit(i).alias("i"), F.lit(a).alias("alias"))) for i, (t, a) in enumerate(KEY_TERMS)])
+    offered = names.select("raw_name", "cleaned", F.explode(F.filter(terms, lambda t: t.isNotNull())).alias("t")).select("raw_name", "cleaned", "t.*")
+    best = offered.join(aliases, "alias").groupBy("raw_name", "cleaned").agg(F.min_by("entry_ix", "i").alias("entry_ix"))
+    return best.select("raw_name", "cleaned", "entry_ix", F.lit("key_term").alias("method"), F.lit(0.7).alias("score"))
+
+
 def normalise(names: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """raw_name, cleaned, canonical_name, code, category, cost_tier, method: exact, then longest prefix, then whole words; else unmatched."""
+    """raw_name, cleaned, canonical_name, code, category, cost_tier, method: exact, then longest prefix, whole words, key terms; else unmatched."""
     aliases = aliases_of(vocabulary)
     open_ = cleaned_names(names, aliases)
     found = None
-    for step in (exact_matches, prefix_matches, word_matches):
+    for step in (exact_matches, prefix_matches, word_matches, key_term_matches):
         hit = step(open_, aliases)
         found = hit if found is None else found.unionByName(hit)
         open_ = open_.join(hit.select("raw_name"), "raw_name", "left_anti")
@@ -120,3 +134,19 @@ def search(vocabulary: DataFrame, text: str, limit: int) -> DataFrame:
 def match_report(normalised: DataFrame, by: Column) -> DataFrame:
     unmatched = F.col("method") == "unmatched"
     return normalised.groupBy(by.alias("group")).agg(F.count("*").alias("n"), F.count_if(unmatched).alias("n_unmatched"), F.avg((~unmatched).cast("int")).alias("match_rate"))
+
+
+def row_procedures(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """doc_id, row_ix, procedure, exact: of the same name, else the first (by ix) of LEAST_PREFIX letters or more that the row's header begins with.
+
+    rows: doc_id, row_ix, header; known: doc_id, name (small letters), ix. Rows without either are left out. A header offers
+    each of its beginnings that has a length of some name in its document, so both are equi joins.
+    """
+    headed = rows.withColumn("low", F.lower(F.trim("header")))
+    lengths = known.groupBy("doc_id").agg(F.collect_set(F.length("name")).alias("lengths"))
+    offered = headed.join(lengths, "doc_id").select("doc_id", "row_ix", "low", F.explode("lengths").alias("n")).where(F.col("n") <= F.length("low"))
+    met = offered.withColumn("name", F.left("low", F.col("n"))).join(known, ["doc_id", "name"])
+    exact = F.col("name") == F.col("low")
+    usable = met.where(exact | (F.col("n") >= LEAST_PREFIX))
+    best = usable.groupBy("doc_id", "row_ix").agg(F.min(F.struct((~exact).alias("x"), "ix", "name")).alias("m"))
+    return best.select("doc_id", "row_ix", F.col("m.name").alias("procedure"), (~F.col("m.x")).alias("exact"))

@@ -7,19 +7,10 @@ from pyspark.sql import functions as F
 
 from loomgrid.functions import temporal
 from loomgrid.operators import graph, validate
+from loomgrid.plans.registry import registry
 from loomgrid.plans.views import table
 
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registry()
 
 
 #: Headers that the part keys number: a pattern is formatted with the key's remainder.

@@ -10,19 +10,10 @@ from loomgrid.operators import reconcile as rec
 from loomgrid.operators import trust
 from loomgrid.operators import validate
 from loomgrid.operators.reconcile import KEY
+from loomgrid.plans.registry import registry
 from loomgrid.plans.views import CELLS, ISSUES, PASSES, TIERS, WITH_CELLS, WITH_PASSES, WITH_RECONCILED, cells, issues, pass_of, table, tier, tiers
 
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registry()
 
 
 def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,19 +8,10 @@ from pyspark.sql import functions as F
 from loomgrid.functions import grid
 from loomgrid.operators import paragraphs, reconcile
 from loomgrid.plans.texts import LINES, lines
+from loomgrid.plans.registry import registry
 from loomgrid.plans.views import KEY, WITH_CELLS, WITH_PASSES, cells, pass_of, table
 
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registry()
 
 
 @query(f"""WITH {LINES}, g AS (SELECT doc_id, i, (length(line) % 30)::DOUBLE AS gap, (10 + i // 6 % 3)::DOUBLE AS size FROM lines), f AS (SELECT *, CASE WHEN lag(1) OVER w IS NULL THEN 0 WHEN gap > 1.5 * size OR size <> lag(size) OVER w THEN 1 ELSE 0 END AS new FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY i))
@@ -68,16 +59,6 @@ def p22_i27_table_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.table_html(rows, ["doc_id"])
 
 
-@query(f"WITH {LINES}, q AS (SELECT doc_id, i, regexp_extract(line, '^([0-9]{{1,2}}(?:\\.[0-9]{{1,3}}){{0,4}})\\.?\\s+([A-Z][A-Za-z\\s,/&():;''\"-]+)', 1) AS number FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, regexp_extract(line, '^([0-9]{{1,2}}(?:\\.[0-9]{{1,3}}){{0,4}})\\.?\\s+([A-Z][A-Za-z\\s,/&():;''\"-]+)', 1), left(regexp_extract(line, '^([0-9]{{1,2}}(?:\\.[0-9]{{1,3}}){{0,4}})\\.?\\s+([A-Z][A-Za-z\\s,/&():;''\"-]+)', 2), 20) ORDER BY i) AS rn FROM lines WHERE regexp_matches(line, '^([0-9]{{1,2}}(?:\\.[0-9]{{1,3}}){{0,4}})\\.?\\s+[A-Z]') AND NOT regexp_matches(line, 'January|May|March')) WHERE rn = 1) SELECT * FROM q WHERE number <> ''")
-def i20_p4_header_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbered headings but for dates, the first of each number and title."""
-    from loomgrid.functions.text import SECTION
-
-    number, title = F.regexp_extract("line", SECTION, 1), F.left(F.regexp_extract("line", SECTION, 2), F.lit(20))
-    rows = lines(spark, sf_dir).where(F.col("line").rlike(SECTION) & ~F.col("line").rlike("January|May|March"))
-    return rows.groupBy("doc_id", number.alias("number"), title.alias("title")).agg(F.min("i").alias("i")).select("doc_id", "i", "number")
-
-
 @query("""SELECT l_orderkey, count(*) AS n_headers, max(l_suppkey % 8) AS num_cols, CASE WHEN abs(count(*) - max(l_suppkey % 8)) > 2 THEN count(*) ELSE max(l_suppkey % 8) END AS used FROM lineitem GROUP BY 1""")
 def p18_schema_cross_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, cols = F.count("*"), F.max(F.col("l_suppkey") % 8)
@@ -118,15 +99,9 @@ def f2_first_and_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.join(reconcile.latest_cells(rows, ["part"]).withColumnRenamed("part", "last_part"), KEY)
 
 
-@query("""SELECT p_partkey, p_name AS name, CASE WHEN p_partkey % 3 = 0 THEN 'b' END AS marker FROM part""")
-def i13_raised_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit("ᵇ"))).otherwise(F.col("p_name"))
-    return table(spark, sf_dir, "part").select("p_partkey", grid.outermost_markers(raw).alias("m")).select("p_partkey", F.col("m.value").alias("name"), "m.marker")
-
-
 @query(f"""{WITH_CELLS}, a AS (SELECT doc_id, count(*) AS total, count(*) FILTER (qty > 25) AS bold, count(*) FILTER (disc > 0.05) AS italic, count(*) FILTER (part % 9 = 0) AS dropped FROM cells GROUP BY 1)
 SELECT doc_id, total, bold, italic, dropped, round(least((total - dropped) / total::DOUBLE, 1), 6) AS fidelity, CASE WHEN dropped = 0 THEN 'none' WHEN dropped > total / 2.0 THEN 'most' ELSE 'some' END AS cause FROM a""")
-def e28_e17_span_forensics(spark: SparkSession, sf_dir: str) -> DataFrame:
+def e28_span_forensics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cells(spark, sf_dir)
     dropped = rows.join(rows.where("part % 9 <> 0").select(*KEY), KEY, "left_anti").groupBy("doc_id").agg(F.count("*").alias("dropped"))
     counts = rows.groupBy("doc_id").agg(F.count("*").alias("total"), F.count_if(F.col("qty") > 25).alias("bold"), F.count_if(F.col("disc") > 0.05).alias("italic"))
@@ -135,14 +110,3 @@ def e28_e17_span_forensics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.withColumns({"fidelity": F.round(F.least((F.col("total") - F.col("dropped")) / F.col("total"), F.lit(1.0)), 6), "cause": cause})
 
 
-@query("""SELECT user_id % 4 AS tier, count(*) FILTER (event_type IN ('error', 'click')) AS n_effort, count(*) FILTER (event_type NOT IN ('error', 'click') AND value < 20) AS n_noise, count(*) AS n FROM events GROUP BY 1""")
-def c7_c17_e23_category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    effort = F.col("event_type").isin("error", "click")
-    return table(spark, sf_dir, "events").groupBy((F.col("user_id") % 4).alias("tier")).agg(F.count_if(effort).alias("n_effort"), F.count_if(~effort & (F.col("value") < 20)).alias("n_noise"), F.count("*").alias("n"))
-
-
-@query(f"WITH {LINES} SELECT doc_id, min(i) FILTER (line LIKE '3. %') AS by_number, min(i) FILTER (contains(lower(line), 'the')) AS by_title FROM lines GROUP BY 1 HAVING min(i) FILTER (line LIKE '3. %') IS NOT NULL AND min(i) FILTER (contains(lower(line), 'the')) IS NOT NULL")
-def p12_p14_find_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("i")
-    found = lines(spark, sf_dir).groupBy("doc_id").agg(F.min(F.when(F.col("line").startswith("3. "), i)).alias("by_number"), F.min(F.when(F.lower("line").contains("the"), i)).alias("by_title"))
-    return found.where("by_number IS NOT NULL AND by_title IS NOT NULL")

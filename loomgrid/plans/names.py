@@ -7,19 +7,10 @@ from pyspark.sql import functions as F
 
 from loomgrid.functions import grid
 from loomgrid.operators import budget, vocabulary
+from loomgrid.plans.registry import registry
 from loomgrid.plans.views import TIER, table, tier
 
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registry()
 
 
 def part_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:

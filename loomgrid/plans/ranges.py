@@ -6,19 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrid.operators import intervals, layout
+from loomgrid.plans.registry import registry
 from loomgrid.plans.views import WITH_CELLS, cells, table
 
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registry()
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,19 +144,6 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("region"), (F.col("o_orderkey") % 200).alias("first_page"), (F.col("o_orderkey") % 200 + 1).alias("last_page"), title.alias("title"), (F.col("o_orderkey") % 3 == 0).alias("marked"))
 
 
-@query("""WITH r AS (SELECT o_custkey AS doc_id, o_orderkey AS region, o_orderkey % 200 AS p0, o_orderkey % 200 + 1 AS p1, lower('Schedule ' || o_orderstatus) AS base, o_orderkey % 3 = 0 AS marked FROM orders),
-a AS (SELECT *, lag(p1) OVER w AS q1, lag(base) OVER w AS pb FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY p0, region)) SELECT doc_id, region, round(greatest(0, least(1, 0.35 * 0.5 + 0.25 * 0.3 + CASE WHEN marked THEN 0.25 ELSE 0 END + CASE WHEN base = pb THEN 0.25 ELSE -0.15 END
-  + CASE WHEN p0 - q1 <= 1 THEN 0.15 WHEN p0 - q1 <= 3 THEN 0.105 WHEN p0 - q1 <= 5 THEN 0.045 ELSE 0 END)), 6)::DOUBLE AS score FROM a WHERE pb IS NOT NULL""")
-def j6_continuity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.continuity(regions(spark, sf_dir)).select("doc_id", "region", F.round("score", 6).alias("score"))
-
-
-@query()
-def f11_stitch_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions joined to earlier ones where they continue: a sequential pass for each document."""
-    return layout.stitch(regions(spark, sf_dir))
-
-
 @query()
 def d20_greedy_table_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgrid.operators.evaluate import match_tables

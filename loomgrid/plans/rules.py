@@ -7,19 +7,10 @@ from pyspark.sql import functions as F
 
 from loomgrid.functions import classify, temporal
 from loomgrid.functions.text import style_score
+from loomgrid.plans.registry import registry
 from loomgrid.plans.views import KEY, WITH_CELLS, cells, table
 
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registry()
 
 
 _TITLE = "CASE doc_id % 5 WHEN 0 THEN 'Schedule of Activities' WHEN 1 THEN 'Adverse events' WHEN 2 THEN NULL WHEN 3 THEN 'Table 2' ELSE 'Study procedures matrix' END"
@@ -45,25 +36,6 @@ def c4_table_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals(spark, sf_dir).select("doc_id", classify.table_type(c("title"), c("in_section"), c("markers"), c("n"), c("visits"), c("rows"), c("cols")).alias("t")).select("doc_id", "t.*")
 
 
-@query(f"""{_SIGNALS} SELECT doc_id, CASE WHEN title IN ('Schedule of Activities') THEN true WHEN markers >= 5 THEN true WHEN n >= 10 AND visits / n > 0.5 THEN true WHEN markers = 0 AND n < 20 AND rows_ <= 1 THEN false ELSE true END AS is_schedule FROM s""")
-def c2_schedule_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col
-    return signals(spark, sf_dir).select("doc_id", classify.is_schedule(c("title"), F.lit(False), c("markers"), c("n"), c("visits"), c("rows")).alias("is_schedule"))
-
-
-@query(f"""{_SIGNALS}, f AS (SELECT s.*, (SELECT count(*) FROM cells c WHERE c.doc_id = s.doc_id AND c.disc > 0.05) / n AS flagged_share FROM s) SELECT doc_id FROM f WHERE (in_section OR title IS NULL OR title <> 'Adverse events') AND NOT (markers = 0 AND n > 5) AND NOT (flagged_share >= 0.98 AND markers = 0 AND n > 3) AND NOT (cols >= 3 AND visits < 1)""")
-def c3_layered_schedule_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    share = cells(spark, sf_dir).groupBy("doc_id").agg(F.avg((F.col("disc") > 0.05).cast("int")).alias("flagged_share"))
-    rows = signals(spark, sf_dir).join(share, "doc_id")
-    kept = (
-        rows.where(F.col("in_section") | F.coalesce(F.col("title") != "Adverse events", F.lit(True)))
-        .where(~((F.col("markers") == 0) & (F.col("n") > 5)))
-        .where(~((F.col("flagged_share") >= 0.98) & (F.col("markers") == 0) & (F.col("n") > 3)))
-        .where(~((F.col("cols") >= 3) & (F.col("visits") < 1)))
-    )
-    return kept.select("doc_id")
-
-
 @query("""WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE l_partkey % 5 WHEN 0 THEN 'small bolt assay' WHEN 1 THEN 'X' WHEN 2 THEN 'of it' WHEN 3 THEN 'small unknown thing' ELSE 'nothing here matches' END AS val, lower(p_name) || ' assay' AS page FROM lineitem JOIN part ON p_partkey = l_partkey),
 w AS (SELECT *, list_filter(regexp_extract_all(lower(val), '[a-z0-9_]{3,}'), lambda x: x NOT IN ('the', 'and', 'for', 'with', 'from')) AS ws FROM v), r AS (SELECT *, len(list_filter(ws, lambda x: contains(page, x))) / greatest(len(ws), 1)::DOUBLE AS ratio, val = 'X' OR len(ws) = 0 AS free FROM w)
 SELECT l_partkey % 5 AS k, free OR ratio >= 0.3 AS grounded, CASE WHEN free OR ratio >= 0.6 THEN 1 WHEN ratio >= 0.3 THEN 0.85 ELSE 0.75 END::DOUBLE AS adjustment, count(*) AS n FROM r GROUP BY ALL""")
@@ -165,16 +137,6 @@ def h3_h4_overlaps_and_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.round(both / F.size(F.array_union("x", "y")), 6).alias("jaccard"), F.round(both / F.greatest(F.size("x"), F.size("y")), 6).alias("overlap"), gaps.alias("n_gaps"))
 
 
-@query(f"""{WITH_CELLS}, v AS (SELECT doc_id, col_ix, max('H' || (part % 50)) AS header FROM cells WHERE row_ix <= 2 GROUP BY 1, 2), p AS (SELECT doc_id, row_ix, max('P' || (supp % 50)) AS name FROM cells WHERE col_ix <= 4 GROUP BY 1, 2)
-SELECT c.doc_id, c.row_ix, c.col_ix, header AS visit, name AS procedure FROM cells c JOIN v USING (doc_id, col_ix) JOIN p USING (doc_id, row_ix)""")
-def d13_visit_procedure_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells with their column's visit and their row's procedure; cells without either are left out."""
-    rows = cells(spark, sf_dir)
-    visits = rows.where("row_ix <= 2").groupBy("doc_id", "col_ix").agg(F.max(F.concat(F.lit("H"), (F.col("part") % 50).cast("string"))).alias("visit"))
-    names = rows.where("col_ix <= 4").groupBy("doc_id", "row_ix").agg(F.max(F.concat(F.lit("P"), (F.col("supp") % 50).cast("string"))).alias("procedure"))
-    return rows.select(*KEY).join(visits, ["doc_id", "col_ix"]).join(names, ["doc_id", "row_ix"]).select(*KEY, "visit", "procedure")
-
-
 @query(f"""{WITH_CELLS}, h AS (SELECT doc_id, 'H' || (part % 20) AS header, min(col_ix * 1000 + row_ix) AS pos FROM cells WHERE col_ix > 1 GROUP BY 1, 2) SELECT doc_id, header, row_number() OVER (PARTITION BY doc_id ORDER BY pos, header)::INT AS visit_index FROM h""")
 def a15_f13_synthesised_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct headers in the order in which they are first seen, numbered."""
@@ -220,13 +182,6 @@ def c14_verification_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(fixes, "event_id", "left").select("event_id", F.coalesce("fix", "value").alias("value"), F.col("fix").isNotNull().alias("corrected"))
 
 
-@query("SELECT d.user_id, CASE WHEN v.user_id IS NULL THEN d.n ELSE v.n END AS n, v.user_id IS NOT NULL AS replaced FROM (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1) d LEFT JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'click' AND user_id % 2 = 0 GROUP BY 1) v USING (user_id)")
-def e21_d25_upsert_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = lambda cond: table(spark, sf_dir, "events").where(cond).groupBy("user_id").agg(F.count("*").alias("n"))
-    old, new = counts("event_type = 'view'"), counts("event_type = 'click' AND user_id % 2 = 0").withColumnRenamed("n", "new")
-    return old.join(new, "user_id", "left").select("user_id", F.coalesce("new", "n").alias("n"), F.col("new").isNotNull().alias("replaced"))
-
-
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n, greatest(count(*) FILTER (l_returnflag <> 'N'), 1) AS n_marks FROM lineitem GROUP BY 1, 2")
 def e11_e12_fallback_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), F.greatest(F.count_if(F.col("l_returnflag") != "N"), F.lit(1)).alias("n_marks"))

@@ -7,19 +7,10 @@ from pyspark.sql import functions as F
 
 from loomgrid.functions import grid, text
 from loomgrid.operators import intervals
+from loomgrid.plans.registry import registry
 from loomgrid.plans.views import table
 
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registry()
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,9 +169,9 @@ def e27_e30_inventories_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH r AS (SELECT l_orderkey, l_partkey, CASE l_partkey % 6 WHEN 0 THEN 'See Section 5.1.2 and Table 3' WHEN 1 THEN 'as in Figure 2.1, appendix B' WHEN 2 THEN 'none' WHEN 3 THEN 'at https://a.org/x now' WHEN 4 THEN 'subsection 4' ELSE 'Appendix A: section 7' END AS t FROM lineitem),
-a AS (SELECT *, regexp_replace(t, '(^|[^"\\w])([Ss]ection\\s+)([0-9]{1,2}(?:\\.[0-9]{1,3}){0,4})', '\\1<a href="#section-\\3" class="cross-ref">\\2\\3</a>', 'g') AS x FROM r),
-b AS (SELECT *, regexp_replace(regexp_replace(x, '(^|[^"\\w])([Tt]able\\s+)([0-9]{1,3}(?:\\.[0-9]{1,2})?)', '\\1<a href="#table-\\3" class="cross-ref">\\2\\3</a>', 'g'), '(^|[^"\\w])([Ff]igure\\s+)([0-9]{1,3}(?:\\.[0-9]{1,2})?)', '\\1<a href="#figure-\\3" class="cross-ref">\\2\\3</a>', 'g') AS y FROM a)
-SELECT regexp_replace(regexp_replace(y, '(^|[^"\\w])([Aa]ppendix\\s+)([A-Z0-9]{1,3})', '\\1<a href="#appendix-\\3" class="cross-ref">\\2\\3</a>', 'g'), '(^|[^"\\w=])(https?://[^\\s<>"'')\\]]+)', '\\1<a href="\\2" class="external-link">\\2</a>', 'g') AS linked, count(*) AS n FROM b GROUP BY 1""")
+a AS (SELECT *, regexp_replace(t, '(^|[^"\\w])([Ss]ection\\s+)([0-9]{1,2}(?:\\.[0-9]{1,3}){0,4})', '\\1<a href="#section-\\3" class="cross-ref" data-ref-type="section" data-ref="\\3">\\2\\3</a>', 'g') AS x FROM r),
+b AS (SELECT *, regexp_replace(regexp_replace(x, '(^|[^"\\w])([Tt]able\\s+)([0-9]{1,3}(?:\\.[0-9]{1,2})?)', '\\1<a href="#table-\\3" class="cross-ref" data-ref-type="table" data-ref="\\3">\\2\\3</a>', 'g'), '(^|[^"\\w])([Ff]igure\\s+)([0-9]{1,3}(?:\\.[0-9]{1,2})?)', '\\1<a href="#figure-\\3" class="cross-ref" data-ref-type="figure" data-ref="\\3">\\2\\3</a>', 'g') AS y FROM a)
+SELECT regexp_replace(regexp_replace(y, '(^|[^"\\w])([Aa]ppendix\\s+)([A-Z0-9]{1,3})', '\\1<a href="#appendix-\\3" class="cross-ref" data-ref-type="appendix" data-ref="\\3">\\2\\3</a>', 'g'), '(^|[^"\\w=])(https?://[^\\s<>"'')\\]]+)', '\\1<a href="\\2" target="_blank" rel="noopener" class="external-link">\\2</a>', 'g') AS linked, count(*) AS n FROM b GROUP BY 1""")
 def p11_auto_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("l_partkey") % 6
     raw = F.when(k == 0, "See Section 5.1.2 and Table 3").when(k == 1, "as in Figure 2.1, appendix B").when(k == 2, "none").when(k == 3, "at https://a.org/x now").when(k == 4, "subsection 4").otherwise("Appendix A: section 7")
@@ -206,7 +197,7 @@ def i23_i25_i26_i31_i32_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = F.create_map(F.lit("name"), F.col("c_name"), F.lit("group"), F.col("c_mktsegment"))
     return table(spark, sf_dir, "customer").select(
         "c_custkey", text.slug(F.col("c_name")).alias("slug"), text.base_title(title).alias("base_title"), text.fill_placeholders(F.lit("Dear {{name}} of {{group}}"), values).alias("filled"),
-        F.get_json_object(text.salvage_json(reply), "$.a").alias("a"), text.css_color(style).cast("double").alias("color"),
+        F.get_json_object(text.salvage_json(reply), "$.a").alias("a"), text.css_color(text.css_value(style, "color")).cast("double").alias("color"),
     )
 
 

@@ -32,3 +32,20 @@ def usdm_instances(studies: DataFrame, by: list[str]) -> DataFrame:
     design = F.col("study.studyDesigns")[0]
     rows = studies.select(*by, F.explode(design["instances"]).alias("x"))
     return rows.select(*by, F.col("x.encounterId").alias("encounter"), F.explode("x.activityIds").alias("activity"))
+
+
+_IR = "struct<pages:array<struct<page:bigint,blocks:array<struct<i:bigint,kind:string,text:string>>>>>"
+
+
+def to_ir(blocks: DataFrame, id_: str) -> DataFrame:
+    """id and ir: each document's blocks (page, i, kind, text) as JSON of pages of blocks."""
+    page = blocks.groupBy(id_, "page").agg(F.array_sort(F.collect_list(F.struct("i", "kind", "text"))).alias("blocks"))
+    pages = page.groupBy(id_).agg(F.array_sort(F.collect_list(F.struct("page", "blocks"))).alias("pages"))
+    return pages.select(id_, F.to_json(F.struct("pages")).alias("ir"))
+
+
+def blocks_of(documents: DataFrame, ir: str) -> DataFrame:
+    """The other columns, and page, i, kind and text of every block of the JSON. What is no such JSON has no block."""
+    rest = [c for c in documents.columns if c != ir]
+    pages = documents.select(*rest, F.explode(F.from_json(ir, _IR)["pages"]).alias("p"))
+    return pages.select(*rest, F.col("p.page").alias("page"), F.explode("p.blocks").alias("b")).select(*rest, "page", "b.*")
