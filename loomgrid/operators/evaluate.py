@@ -9,29 +9,29 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgrid.operators.intervals import in_order
+
 LEAST_OVERLAP = 2
 
 
 def match_tables(found: DataFrame, truth: DataFrame) -> DataFrame:
     """doc_id, tab, truth, overlap: tables (doc_id, tab, name) matched by the most common names, each truth once.
 
-    The pairs of a document's tables are one sorted array, folded in order of overlap.
+    The pairs of a document's tables are taken in order of overlap; what is held is its tables that are taken.
     """
     a, b = found.distinct(), truth.distinct().withColumnRenamed("tab", "truth")
     pairs = a.join(b, ["doc_id", "name"]).groupBy("doc_id", "tab", "truth").agg(F.count("*").alias("overlap")).where(F.col("overlap") >= LEAST_OVERLAP)
-    item = "struct<tab:bigint,truth:bigint,overlap:bigint>"
-    kind = f"struct<tabs:array<bigint>,truths:array<bigint>,out:array<{item}>>"
-    zero = F.struct(F.array().alias("tabs"), F.array().alias("truths"), F.array().alias("out")).cast(kind)
 
-    def step(acc: Column, p: Column) -> Column:
-        taken = F.array_contains(acc["tabs"], p["tab"]) | F.array_contains(acc["truths"], p["truth"])
-        chosen = F.struct(p["tab"].alias("tab"), p["truth"].alias("truth"), (-p["less"]).alias("overlap")).cast(item)
-        grown = F.struct(F.array_append(acc["tabs"], p["tab"]).alias("tabs"), F.array_append(acc["truths"], p["truth"]).alias("truths"), F.array_append(acc["out"], chosen).alias("out")).cast(kind)
-        return F.when(taken, acc).otherwise(grown)
+    def step(state: tuple, pair: tuple) -> tuple[tuple, tuple | None]:
+        (tabs, truths), (tab, own, _) = state, pair
+        if tab in tabs or own in truths:
+            return state, None
+        tabs.add(tab)
+        truths.add(own)
+        return state, pair
 
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("overlap")).cast("bigint").alias("less"), F.col("tab").cast("bigint").alias("tab"), F.col("truth").cast("bigint").alias("truth"))))
-    one = pairs.groupBy("doc_id").agg(ordered.alias("pairs"))
-    return one.select("doc_id", F.explode(F.aggregate("pairs", zero, step, lambda acc: acc["out"])).alias("m")).select("doc_id", "m.*")
+    long = pairs.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("tab", "truth", "overlap")])
+    return in_order(long, ["doc_id"], [F.col("overlap").desc(), F.col("tab"), F.col("truth")], ["tab", "truth", "overlap"], "tab long, truth long, overlap long", lambda: (set(), set()), step)
 
 
 def edit_distance(a: list[str], b: list[str]) -> float:
@@ -39,8 +39,12 @@ def edit_distance(a: list[str], b: list[str]) -> float:
     if not a or not b:
         return float(len(a) + len(b))
     row = np.arange(len(b) + 1, dtype=float)
+    kinds, at = np.unique(np.array(b, object), return_inverse=True)
+    costs: dict[str, np.ndarray] = {}  # by distinct node, to each distinct one of the other side
     for x in a:
-        change = np.array([0.0 if x == y else 1 - difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for y in b])
+        if x not in costs:
+            costs[x] = np.array([0.0 if x == y else 1 - difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for y in kinds])
+        change = costs[x][at]
         new = np.empty_like(row)
         new[0] = row[0] + 1
         best = np.minimum(row[1:] + 1, row[:-1] + change)

@@ -5,6 +5,9 @@ Range joins are equi joins on bins of the range, so no side is compared with the
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,32 +64,51 @@ def section_ends(sections: DataFrame) -> DataFrame:
     return sections.withColumn("end_page", F.greatest(F.col("page"), F.coalesce(following, F.col("n_pages")) - 1))
 
 
+def in_order(rows: DataFrame, by: list[str], order: list[Column], columns: list[str], schema: str, first: Callable[[], tuple], step: Callable[[tuple, tuple], tuple[tuple, tuple | None]]) -> DataFrame:
+    """What a sequential pass over each group's rows gives: step takes the state and a row's columns, and returns the next
+    state and an output row or None. Partitions are sorted by group, and only one group's state is held, so the work is
+    linear in the rows. Output has the group's columns and then those of the schema.
+    """
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by)
+    names = [*by, *(x.split()[0] for x in schema.split(", "))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, first()
+        for batch in batches:
+            out = []
+            for k, values in zip(zip(*(batch[c].tolist() for c in by), strict=True), zip(*(batch[c].tolist() for c in columns), strict=True), strict=True):
+                if k != key:
+                    key, state = k, first()
+                state, found = step(state, values)
+                if found is not None:
+                    out.append((*k, *found))
+            yield pd.DataFrame(out, columns=names)
+
+    dealt = rows.select(*dict.fromkeys([*by, *columns])).repartition(*by).sortWithinPartitions(*by, *order)
+    return dealt.mapInPandas(run, f"{kinds}, {schema}")
+
+
 def greedy_apart(rows: DataFrame, by: list[str]) -> DataFrame:
     """Of each group's spans (start, end) those that a pass by start, the longest first, keeps without overlap."""
-    spans = F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("neg_end"))))
-    kind = "struct<last:bigint,kept:array<struct<start:bigint,end:bigint>>>"
-    zero = F.struct(F.lit(-1).cast("bigint").alias("last"), F.array().alias("kept")).cast(kind)
 
-    def step(acc: Column, s: Column) -> Column:
-        end = (-s["neg_end"]).cast("bigint")
-        grown = F.struct(end.alias("last"), F.concat(acc["kept"], F.array(F.struct(s["start"].cast("bigint").alias("start"), end.alias("end")))).alias("kept")).cast(kind)
-        return F.when(s["start"] >= acc["last"], grown).otherwise(acc)
+    def step(state: tuple, span: tuple) -> tuple[tuple, tuple | None]:
+        start, end = span
+        return ((end,), span) if start >= state[0] else (state, None)
 
-    return rows.groupBy(*by).agg(spans.alias("__spans")).select(*by, F.explode(F.aggregate("__spans", zero, step, lambda a: a["kept"])).alias("s")).select(*by, "s.start", "s.end")
+    spans = rows.select(*by, F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    return in_order(spans, by, [F.col("start"), F.col("end").desc()], ["start", "end"], "start long, end long", lambda: (-1,), step)
 
 
 def clusters(rows: DataFrame, by: list[str], at: str, reach: float) -> DataFrame:
     """Per group, the values of at in clusters: a new one begins more than reach beyond the first of the current."""
-    values = F.array_sort(F.collect_list(F.col(at).cast("double")))
-    kind = "struct<first:double,n:int,out:array<struct<at:double,cluster:int>>>"
-    zero = F.struct(F.lit(None).cast("double").alias("first"), F.lit(-1).alias("n"), F.array().alias("out")).cast(kind)
 
-    def step(acc: Column, x: Column) -> Column:
-        new = acc["first"].isNull() | (x - acc["first"] > reach)
-        n = F.when(new, acc["n"] + 1).otherwise(acc["n"])
-        return F.struct(F.when(new, x).otherwise(acc["first"]).alias("first"), n.alias("n"), F.concat(acc["out"], F.array(F.struct(x.alias("at"), n.alias("cluster")))).alias("out")).cast(kind)
+    def step(state: tuple, value: tuple) -> tuple[tuple, tuple | None]:
+        begin, n = state
+        if begin is None or value[0] - begin > reach:
+            begin, n = value[0], n + 1
+        return (begin, n), (value[0], n)
 
-    return rows.groupBy(*by).agg(values.alias("__v")).select(*by, F.explode(F.aggregate("__v", zero, step, lambda a: a["out"])).alias("c")).select(*by, "c.at", "c.cluster")
+    return in_order(rows.select(*by, F.col(at).cast("double").alias("at")), by, [F.col("at")], ["at"], "at double, cluster int", lambda: (None, -1), step)
 
 
 def nearest(points: DataFrame, centres: DataFrame, by: list[str], at: str, centre: str, within: float) -> DataFrame:
@@ -98,12 +120,11 @@ def nearest(points: DataFrame, centres: DataFrame, by: list[str], at: str, centr
 
 def shift_pages(rows: DataFrame) -> DataFrame:
     """Rows of pages that begin again below the running offset, moved behind it. Input: doc_id, page, least, most; output has shift."""
-    pages = F.array_sort(F.collect_list(F.struct("page", "least", "most")))
-    kind = "struct<offset:bigint,out:array<struct<page:bigint,shift:bigint>>>"
-    zero = F.struct(F.lit(0).cast("bigint").alias("offset"), F.array().alias("out")).cast(kind)
 
-    def step(acc: Column, p: Column) -> Column:
-        shift = F.when(p["least"] < acc["offset"], acc["offset"]).otherwise(0).cast("bigint")
-        return F.struct((p["most"] + shift + 1).cast("bigint").alias("offset"), F.concat(acc["out"], F.array(F.struct(p["page"].cast("bigint").alias("page"), shift.alias("shift")))).alias("out")).cast(kind)
+    def step(state: tuple, row: tuple) -> tuple[tuple, tuple | None]:
+        page, least, most = row
+        shift = state[0] if least < state[0] else 0
+        return (most + shift + 1,), (page, shift)
 
-    return rows.groupBy("doc_id").agg(pages.alias("__p")).select("doc_id", F.explode(F.aggregate("__p", zero, step, lambda a: a["out"])).alias("p")).select("doc_id", "p.page", "p.shift")
+    pages = rows.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("page", "least", "most")])
+    return in_order(pages, ["doc_id"], [F.col("page")], ["page", "least", "most"], "page long, shift long", lambda: (0,), step)

@@ -144,7 +144,12 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("region"), (F.col("o_orderkey") % 200).alias("first_page"), (F.col("o_orderkey") % 200 + 1).alias("last_page"), title.alias("title"), (F.col("o_orderkey") % 3 == 0).alias("marked"))
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT l_orderkey AS doc_id, l_linenumber::INT AS row_ix, (l_suppkey % 8 + 1)::INT AS col_ix, max({'part': l_partkey, 'supp': l_suppkey, 'qty': l_quantity, 'price': l_extendedprice, 'disc': l_discount, 'tax': l_tax, 'flag': l_returnflag, 'status': l_linestatus}) AS m FROM lineitem GROUP BY 1, 2, 3),
+x AS (SELECT DISTINCT doc_id, m.supp % 3 AS tab, m.part % 23 AS name FROM c), y AS (SELECT DISTINCT doc_id, m.supp % 3 + 10 AS truth, m.part % 23 AS name FROM c WHERE m.part % 4 <> 0),
+p AS (SELECT doc_id, tab, truth, count(*) AS overlap FROM x JOIN y USING (doc_id, name) GROUP BY 1, 2, 3 HAVING count(*) >= 2), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY overlap DESC, tab, truth) AS i FROM p),
+f AS (SELECT doc_id, i, [{'tab': tab, 'truth': truth, 'overlap': overlap}] AS out FROM n WHERE i = 1
+  UNION ALL SELECT n.doc_id, n.i, CASE WHEN len(list_filter(out, lambda o: o.tab = n.tab OR o.truth = n.truth)) > 0 THEN out ELSE list_append(out, {'tab': n.tab, 'truth': n.truth, 'overlap': n.overlap}) END FROM f JOIN n ON n.doc_id = f.doc_id AND n.i = f.i + 1)
+SELECT doc_id, o.tab AS tab, o.truth AS truth, o.overlap AS overlap FROM (SELECT doc_id, unnest(out) AS o FROM (SELECT doc_id, arg_max(out, i) AS out FROM f GROUP BY 1))""")
 def d20_greedy_table_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgrid.operators.evaluate import match_tables
 
