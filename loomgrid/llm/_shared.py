@@ -19,9 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see. Only where the session names none is a local one set, as in tests."""
+    """The folder that the driver and all executors see. Only where the session names none, on a local master, is a local one set, as in tests."""
     root = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if root is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors see")
         root = "file://" + tempfile.mkdtemp(prefix="loomgrid-shared-")
         atexit.register(shutil.rmtree, root.removeprefix("file://"), True)
         spark.conf.set(CHECKPOINT_KEY, root)

@@ -9,12 +9,14 @@
    Where they need a low one, lengths prune. The vectors that are left are verified by exact products.
 5. The best k of each bucket meet, and the best k of them stay.
 
-Queries come in blocks of BLOCK, so a task holds one bucket and one block. All bounds have slack for rounding, and ties
-at the threshold are kept, so the result is exact.
+Queries come in blocks of about BLOCK that need vectors of about the same length, so a task holds one bucket and one
+block, and a bucket's vectors go only to the blocks that have a query for it. All bounds have slack for rounding, and
+ties at the threshold are kept, so the result is exact.
 
 Defined results. Vectors that are null or hold null or non-finite components take no part. Of rows that share a vec_id
 the smallest vector counts; rows without one take no part. Shorter vectors count as padded with zeros. A zero vector has
-the product 0 with all. Equal scores go by smaller vec_id. Other columns do not matter.
+the product 0 with all. Equal scores go by smaller vec_id. Other columns do not matter. Components so large that a product
+could leave 64 bits raise a ValueError.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgrid.llm._shared import staged
+from loomgrid.llm._shared import small, staged
 
 BUCKET = 8192
 MOST_BINS = 4096
@@ -37,6 +39,7 @@ SEEDS = 2048
 #: Queries that need at least this cosine prune by coordinates, others by lengths.
 HIGH_COSINE = 0.5
 COORDINATES = 4
+BROADCAST_PAIRS = 1_000_000
 _SLACK = 1e-9
 
 
@@ -71,8 +74,11 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact integer products of rows of a with rows of b: in floating point while that is exact."""
     width = max(a.shape[1], b.shape[1])
     a, b = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) if x.shape[1] < width else x for x in (a, b))
-    if float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, width) < 2**52:
+    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, width)
+    if most < 2**52:
         return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
+    if most >= 2**62:
+        raise ValueError("components are too large for products of 64 bits")
     return a @ b.T
 
 
@@ -86,9 +92,9 @@ class Layout:
     firsts: np.ndarray
 
     @classmethod
-    def of(cls, lows: np.ndarray, bins: dict[int, tuple[int, float]]) -> Layout:
+    def of(cls, lows: np.ndarray, bins: dict[int, tuple[int, float]], size: int) -> Layout:
         n = len(lows) + 1
-        parts = np.array([max(1, math.ceil(bins.get(b, (0, 0))[0] / BUCKET)) for b in range(n)])
+        parts = np.array([max(1, math.ceil(bins.get(b, (0, 0))[0] / size)) for b in range(n)])
         return cls(lows, np.array([bins.get(b, (0, -1.0))[1] for b in range(n)]), parts, np.concatenate([[0], np.cumsum(parts)[:-1]]))
 
     def bin_of(self, norm: np.ndarray) -> np.ndarray:
@@ -114,18 +120,41 @@ def _bin_rows(shared, keep: bool):
     return run
 
 
-def bucketed(vectors: DataFrame, n: int) -> tuple[DataFrame, Layout]:
-    """vectors with their bucket, and the layout of the bins."""
+def bucketed(vectors: DataFrame, n: int, size: int) -> tuple[DataFrame, Layout]:
+    """vectors with their bucket of about size rows of like norm, and the layout of the bins."""
     sc = vectors.sparkSession.sparkContext
-    bins = min(MOST_BINS, max(1, math.ceil(n / BUCKET)))
+    bins = min(MOST_BINS, max(1, math.ceil(n / size)))
     probs = [i / bins for i in range(1, bins)]
     lows = np.array(sorted(set(vectors.approxQuantile("norm", probs, 0.1 / bins)), reverse=True)) if probs else np.zeros(0)
-    layout = Layout.of(lows, {})
+    layout = Layout.of(lows, {}, size)
     counted = vectors.mapInArrow(_bin_rows(sc.broadcast(layout), False), "bin long, n long, longest double").groupBy("bin").agg(F.sum("n"), F.max("longest"))
-    layout = Layout.of(lows, {int(b): (int(c), float(m)) for b, c, m in counted.collect()})
+    layout = Layout.of(lows, {int(b): (int(c), float(m)) for b, c, m in counted.collect()}, size)
     return vectors.mapInArrow(_bin_rows(sc.broadcast(layout), True), "vec_id long, v array<long>, norm double, bucket long"), layout
 
 
+def _floors(ids: np.ndarray, q: np.ndarray, seed_ids: np.ndarray, seeds: np.ndarray, k: int) -> np.ndarray:
+    """Each query's k-th best product among the seeds."""
+    if len(seed_ids) <= k:
+        return np.full(len(ids), -np.inf)
+    score = _products(q, seeds).astype(np.float64)
+    score[ids[:, None] == seed_ids[None, :]] = -np.inf
+    return np.partition(score, len(seed_ids) - k, axis=1)[:, len(seed_ids) - k]
+
+
+def _needs(shared, k: int):
+    """vec_id, v, and as norm the least length of a vector that can reach the query's first threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, seed_ids, seeds = shared.value
+        for batch in batches:
+            norm = batch.column(2).to_numpy()
+            floor = _floors(batch.column(0).to_numpy(), _matrix(batch.column(1)), seed_ids, seeds, k)
+            need = np.where(floor > 0, floor, 0) / np.where(norm > 0, norm, 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(need)], names=["vec_id", "v", "norm"])
+
+    return run
+
+
 def _route(shared, k: int):
     """A row for each query and each bucket that it has to see, with its first threshold."""
 
@@ -134,12 +163,9 @@ def _route(shared, k: int):
         buckets = np.concatenate([np.arange(f, f + p) for f, p in zip(layout.firsts, layout.parts, strict=True)])
         longest = np.repeat(layout.longest, layout.parts)
         for batch in batches:
-            ids, norm, q = batch.column(0).to_numpy(), batch.column(2).to_numpy(), _matrix(batch.column(1))
-            floor = np.full(len(ids), -np.inf)
-            if len(seed_ids) > k:
-                score = _products(q, seeds).astype(np.float64)
-                score[ids[:, None] == seed_ids[None, :]] = -np.inf
-                floor = np.partition(score, len(seed_ids) - k, axis=1)[:, len(seed_ids) - k]
+            ids, q = batch.column(0).to_numpy(), _matrix(batch.column(1))
+            norm = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1))
+            floor = _floors(ids, q, seed_ids, seeds, k)
             reach = norm[:, None] * longest[None, :]
             row, col = np.nonzero((reach * (1 + _SLACK) + _SLACK >= floor[:, None]) & (longest >= 0)[None, :])
             yield pa.RecordBatch.from_arrays(
@@ -219,14 +245,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
     spark = vectors.sparkSession
     whole = staged(scaled_vectors(vectors, scale), "vectors")
     n = whole.count()
-    rows, layout = bucketed(whole, n)
+    rows, layout = bucketed(whole, n, BUCKET)
     queries = whole.where(is_query)
-    blocks = max(1, math.ceil(queries.count() / BLOCK))
     seeds = whole.orderBy(F.desc("norm"), "vec_id").limit(SEEDS).select("vec_id", "v").toArrow()
     shared = spark.sparkContext.broadcast((layout, seeds.column("vec_id").to_numpy(), _matrix(seeds.column("v"))))
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
-    routed = queries.withColumn("block", block).mapInArrow(_route(shared, k), "query_id long, q array<long>, qnorm double, floor double, bucket long, block long")
-    spread = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    needs = staged(queries.mapInArrow(_needs(shared, k), "vec_id long, v array<long>, norm double"), "query-needs")
+    blocked, _ = bucketed(needs, needs.count(), BLOCK)
+    routed = staged(blocked.mapInArrow(_route(shared, k), "query_id long, q array<long>, qnorm double, floor double, bucket long, block long"), "routed")
+    pairs = staged(routed.select("bucket", "block").distinct(), "bucket-blocks")
+    spread = rows.join(small(pairs, pairs.count(), BROADCAST_PAIRS), "bucket")
     found = routed.groupBy("bucket", "block").cogroup(spread.groupBy("bucket", "block")).applyInArrow(_cell(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
