@@ -122,3 +122,58 @@ def test_log_stream(spark, tmp_path):
     assert sum(r["n"] for r in spark.table("counts").collect()) == 10
     checkpointed(read_log(spark, str(log)), str(tmp_path / "out"), str(tmp_path / "c2")).trigger(availableNow=True).start().awaitTermination(60)
     assert latest_state(spark.read.parquet(str(tmp_path / "out"))).count() == 3
+
+
+PAGE = """<html><head><title>t</title><style>p{}</style></head><body style="color:#111"><script>var a = "<p>no</p>";</script>
+<h2>Head <i>line</i></h2><p style="text-align: center">One <b>two <u>three</u></b> &amp; four<br>five<p>open<ul><li>a<ol><li>b</li></ol></li><li>c</li></ul>
+<blockquote>q<p>r</p></blockquote><hr><table><tr><th rowspan=2 colspan=2>h</th><td>x</td></tr><tr><td><a href="/l">y</a></td></tr></table>tail</body></html>"""
+
+
+def test_html_blocks(spark):
+    from loomgrid.operators import html
+
+    rows = html.blocks(spark.createDataFrame([(1, PAGE), (2, None), (3, "</p></table></b>just text"), (4, "")], "id long, h string"), "id", "h").orderBy("id", "block").collect()
+    found = [(r["kind"], r["text"], r["depth"]) for r in rows if r["id"] == 1]
+    assert found == [
+        ("heading2", "Head line", 0), ("body", "One two three & four five", 0), ("body", "open", 0), ("list_bullet", "a", 1), ("list_number", "b", 2), ("list_bullet", "c", 1), ("quote", "q", 1), ("quote", "r", 1), ("rule", "---", 0),
+        ("header_cell", "h", 0), ("cell", "x", 0), ("cell", "y", 0), ("body", "tail", 0),
+    ]
+    cells = [(r["tab"], r["row_ix"], r["col_ix"], r["rows"], r["cols"]) for r in rows if r["kind"].endswith("cell")]
+    assert cells == [(0, 0, 0, 2, 2), (0, 0, 2, 1, 1), (0, 1, 2, 1, 1)]
+    para = rows[1]
+    assert para["align"] == "center" and [(s["text"], s["formats"]) for s in para["spans"]][:3] == [("One ", []), ("two ", ["bold"]), ("three", ["bold", "underline"])]
+    assert para["spans"][0]["style"].startswith("color:#111") and next(r for r in rows if r["text"] == "y")["spans"][0]["link"] == "/l"
+    assert [(r["id"], r["kind"], r["text"]) for r in rows if r["id"] != 1] == [(3, "body", "just text")]
+
+
+def test_every_tag_of_random_pages_is_read(spark):
+    import random
+
+    from loomgrid.operators import html
+
+    rng = random.Random(4)
+    tags = ["p", "b", "i", "ul", "li", "ol", "table", "tr", "td", "div", "h3", "blockquote", "span"]
+    for _ in range(300):
+        pieces, words = [], []
+        for k in range(30):
+            tag = rng.choice(tags)
+            pieces.append(rng.choice([f"<{tag}>", f"</{tag}>", f"w{k} "]))
+            words += [pieces[-1].strip()] if pieces[-1].startswith("w") else []
+        assert " ".join(b[2] for b in html.read("".join(pieces)) if b[1] != "rule").split() == words
+
+
+def test_sections_are_clipped_and_found(spark):
+    from loomgrid.operators import sections
+
+    lines = spark.createDataFrame([(1, 0, 10.0, "before"), (1, 0, 40.0, "1. Start"), (1, 1, 5.0, "Page 2"), (1, 1, 20.0, " kept "), (1, 1, 30.0, ""), (1, 2, 10.0, "see Section 2"), (1, 2, 50.0, "2. Next")], "doc_id long, page int, y double, line string")
+    ranges = spark.createDataFrame([(1, "1", 0, 41.0, 2, 50.0), (1, "2", 2, 50.0, 2, None)], "doc_id long, number string, page int, start_y double, end_page int, end_y double")
+    found = sections.clipped_lines(lines, ranges)
+    assert sorted((r["number"], r["line"]) for r in found.collect()) == [("1", "1. Start"), ("1", "kept"), ("1", "see Section 2"), ("2", "2. Next")]
+    html = {r["number"]: r["html"] for r in sections.section_html(found).collect()}
+    assert html["1"].startswith("<h1>1. Start</h1>\n<p>kept</p>\n<p>see <a href") and html["2"] == "<h1>2. Next</h1>"
+
+
+def test_rules_that_change_nothing_have_not_fired(spark):
+    rows = spark.createDataFrame([(1, 5), (2, None)], "id long, v int")
+    after, log = graph.fired(rows, [("late", 2, {"v": F.col("v") + 1}), ("early", 1, {"v": F.coalesce("v", F.lit(0))}), ("none", 3, {"id": F.col("id")})])
+    assert sorted(map(tuple, after.collect())) == [(1, 6), (2, 1)] and sorted(map(tuple, log.collect())) == [("early", 1), ("late", 2)]
