@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +47,25 @@ def read_families(spark: SparkSession, path: str) -> DataFrame:
 
 def resolve_config(candidates: list[str], existing: set[str], default: str = "_defaults") -> str:
     return next((c for c in candidates if c in existing), default)
+
+
+def index_aliases(vocabulary: DataFrame, last_wins: bool = False) -> DataFrame:
+    """alias and entry_ix: of entries that share an alias the first (by entry_ix), or the last, counts."""
+    every = vocabulary.select("entry_ix", F.explode(F.array_union(F.array(F.lower("canonical_name")), "aliases")).alias("alias"))
+    return every.groupBy("alias").agg((F.max if last_wins else F.min)("entry_ix").alias("entry_ix"))
+
+
+def read_exclusions(spark: SparkSession, path: str) -> DataFrame:
+    """pattern and group of a JSON of lists of patterns, in small letters."""
+    rows = spark.read.json(path, schema="patterns map<string,array<string>>", multiLine=True)
+    return rows.select(F.explode("patterns").alias("group", "p")).select("group", F.explode("p").alias("pattern")).select(F.lower(F.trim("pattern")).alias("pattern"), "group").distinct()
+
+
+def load_profile(spark: SparkSession, folder: str, area: str, default: str = "general") -> dict:
+    """A therapeutic area's profile, a JSON file of the folder, or the default's where there is none. Read on the driver, as a configuration."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in (area.lower().replace(" ", "_"), default):
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.json")
+        if path.getFileSystem(conf).exists(path):
+            return json.loads(spark.read.text(str(path), wholetext=True).first()["value"])
+    raise FileNotFoundError(f"neither {area} nor {default} in {folder}")
