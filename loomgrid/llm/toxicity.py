@@ -11,7 +11,7 @@ documents, so beside the sample's features only a block's sums are held, and tra
 than GAIN of the likelihood. Scoring reads every whole text in one pass, without a shuffle.
 
 Defined results. Null, empty and wordless texts have no sentence and the score 0. Labels other than 0 and 1, null
-labels and labels without a document do not train. If doc_ids repeat, a document has each of its labels. Other columns
+labels and labels without a document do not train. Without trained labels of both kinds no document is toxic. If doc_ids repeat, a document has each of its labels. Other columns
 pass through.
 """
 
@@ -119,7 +119,7 @@ def train(texts: pa.Array, labels: np.ndarray, shares: tuple[float, float] = (1.
         counts += np.bincount(np.unique(own * FEATURES + feature) % FEATURES, minlength=FEATURES).astype(np.int32)
         n_sentences += len(doc)
     if not n_sentences or len(set(labels.tolist())) < 2:
-        model.bias = -60.0 if not labels.any() else model.bias
+        model.bias = -60.0
         return model
     doc, owner, feature = (np.concatenate(x) for x in zip(*_features_of(texts, counts >= LEAST), strict=True))
     n = len(texts)
