@@ -93,9 +93,10 @@ def index_of(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
 
 @dataclass
 class Index:
-    """The staged tables: windows of the items, anchors of exact phrases, terms of proximity, and the postings."""
+    """The staged tables: windows of the items, those that proximity takes, anchors of exact phrases, terms of proximity, and the postings."""
 
     windows: DataFrame
+    apart: DataFrame
     anchors: DataFrame
     near: DataFrame
     postings: DataFrame
@@ -109,10 +110,10 @@ class Index:
         counts = staged(term_counts(docs, terms, n_terms), "bench-counts")
         rare = staged(anchors_of(windows.select("phrase", "check", "words").distinct(), counts, max(anchors, proximity)), "bench-anchors")
         exact = rare.where(F.col("k") < anchors).withColumn("n", F.least("n", F.lit(anchors)))
-        apart = windows.where((F.col("start") % size == 0) | (F.col("start") == F.col("last"))).select("phrase").distinct()
-        near = rare.join(apart, "phrase", "left_semi").where((F.col("k") < proximity) & (F.col("n") > 1)).withColumn("n", F.least("n", F.lit(proximity)))
+        apart = windows.where((F.col("start") % size == 0) | (F.col("start") == F.col("last")))
+        near = rare.join(apart.select("phrase").distinct(), "phrase", "left_semi").where((F.col("k") < proximity) & (F.col("n") > 1)).withColumn("n", F.least("n", F.lit(proximity)))
         used = exact.select("term").union(near.select("term")).distinct()
-        return cls(windows, exact, near, staged(index_of(docs, used, n_terms), "bench-index"), rare.count())
+        return cls(windows, apart, exact, near, staged(index_of(docs, used, n_terms), "bench-index"), rare.count())
 
 
 def phrase_starts(index: Index) -> DataFrame:
@@ -179,7 +180,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, anc
         index.postings.where("term = ''").groupBy("doc_id", "th").agg(F.max("pos").alias("n_words")),
         new.groupBy("doc_id", "th").agg(F.sum("new").alias("n_hit")),
         _items_by_row(matches, index.windows, "items"),
-        _items_by_row(proximity_matches(index, size, slop), index.windows, "near_items"),
+        _items_by_row(proximity_matches(index, size, slop), index.apart, "near_items"),
     ]
     names = ["n_words", "n_hit", "items", "near_items"]
     found = parts[0].select("doc_id", "th", F.struct("n_words", *[F.lit(None).cast(parts[i].schema[n].dataType).alias(n) for i, n in enumerate(names) if i]).alias("x"))

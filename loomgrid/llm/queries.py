@@ -127,8 +127,22 @@ matches AS (SELECT doc_id, item_id, s, len FROM grams JOIN windows USING (len, p
 hits AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + len)) AS pos FROM matches) GROUP BY doc_id),
 found AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
-  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM matches) GROUP BY doc_id)
-SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM matches) GROUP BY doc_id),
+tokens AS (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM docs),
+apart AS (
+  SELECT DISTINCT item_id, s AS win, unnest(w[s + 1 : s + 10]) AS term
+  FROM (SELECT item_id, w, unnest(range(greatest(len(w) - 9, 1))) AS s FROM items WHERE len(w) > 0) WHERE s % 10 = 0 OR s = greatest(len(w) - 10, 0)),
+ranked AS (
+  SELECT item_id, win, term, row_number() OVER (PARTITION BY item_id, win ORDER BY coalesce(n, 0), term) AS k, least(3, count(*) OVER (PARTITION BY item_id, win)) AS n
+  FROM apart LEFT JOIN (SELECT term, count(*) AS n FROM tokens GROUP BY 1) USING (term)),
+rare AS (SELECT * FROM ranked WHERE k <= 3 AND n > 1),
+placed AS (SELECT t.doc_id, t.pos, r.item_id, r.win, r.k, r.n FROM tokens t JOIN rare r USING (term)),
+near AS (
+  SELECT DISTINCT doc_id, item_id FROM (
+    SELECT a.doc_id, a.item_id, a.win, a.pos FROM placed a JOIN placed b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND a.win = b.win AND b.pos BETWEEN a.pos AND a.pos + 14
+    GROUP BY a.doc_id, a.item_id, a.win, a.pos, a.n HAVING count(DISTINCT b.k) = a.n)),
+near_items AS (SELECT doc_id, count(DISTINCT item_id::VARCHAR) AS n_near_items FROM near GROUP BY 1)
+SELECT doc_id, coalesce(n_near_items, 0)::BIGINT AS n_near_items, len(w) AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
-FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN found USING (doc_id)""",
+FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN found USING (doc_id) LEFT JOIN near_items USING (doc_id)""",
 }
