@@ -383,6 +383,59 @@ def test_op6_probabilities_sum_to_one_and_junk_is_told_apart(spark):
         assert np.exp(shard.log_p(c + np.arange(256, dtype=np.int64))).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_op6_against_an_independent_model(spark):
+    """Interpolated modified Kneser-Ney over 5-grams of bytes, by dictionaries."""
+    rng = random.Random(66)
+    texts = [" ".join(rng_words(rng, 40)) for _ in range(25)]
+    grams = lambda t: [t.encode()[i : i + 5] for i in range(len(t.encode()) - 4)]
+    counts = {5: Counter(g for t in texts for g in grams(t))}
+    for k in range(4, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    totals, free, cut = {}, {}, {}
+    for k, c in counts.items():
+        n = [sum(v == i for v in c.values()) for i in range(1, 5)]
+        y = n[0] / (n[0] + 2 * n[1]) if all(n[:2]) else None
+        d = [i - (i + 1) * y * n[i] / n[i - 1] if n[i - 1] else i / 2 for i in (1, 2, 3)] if y is not None else [0.5, 1.0, 1.5]
+        d = [min(max(x, 0.05 * i), 0.95 * i) for i, x in enumerate(d, 1)] if y is not None else d
+        cut[k], totals[k], free[k] = d, Counter(), Counter()
+        for g, v in c.items():
+            totals[k][g[:-1]] += v
+            free[k][g[:-1]] += d[min(v, 3) - 1]
+
+    def p(g):
+        lower_p = p(g[1:]) if len(g) > 1 else 1 / 256
+        k, h = len(g), g[:-1]
+        if not totals[k][h]:
+            return lower_p
+        v = counts[k][g]
+        return (v - cut[k][min(v, 3) - 1] if v else 0) / totals[k][h] + free[k][h] / totals[k][h] * lower_p
+
+    odd = ["something else altogether zzzz", texts[0][::-1]]
+    rows = spark.createDataFrame(list(enumerate(texts + odd)), DOCS)
+    got = {r["doc_id"]: r["perplexity"] for r in quality.perplexities(rows, rows.where("doc_id < 25")).collect()}
+    for i, t in enumerate(texts + odd):
+        assert got[i] == pytest.approx(float(np.exp(-np.mean([np.log(p(g)) for g in grams(t)]))), rel=1e-4)
+
+
+def test_op6_words_out_of_order_are_less_likely(spark):
+    rng = random.Random(67)
+    vocab = rng_words(rng, 200)
+    follow = {w: rng.sample(vocab, 3) for w in vocab}
+
+    def say(n):
+        w = [rng.choice(vocab)]
+        while len(w) < n:
+            w.append(rng.choice(follow[w[-1]]))
+        return w
+
+    docs = [(i, " ".join(say(60)), "en") for i in range(400)]
+    salad = [(1000 + i, " ".join(rng.sample(w := say(60), len(w))), "en") for i in range(20)]
+    labels = [(i, 1, 0) for i in range(400)]
+    out = quality.judge(spark.createDataFrame(docs + salad, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    mean = lambda cond: np.mean([r["perplexity"] for r in out if cond(r["doc_id"])])
+    assert mean(lambda i: i >= 1000) > 1.05 * mean(lambda i: i < 400)
+
+
 def test_op6_shards_give_the_whole_models_scores(spark, monkeypatch):
     rng = random.Random(7)
     docs = spark.createDataFrame([(i, " ".join(rng_words(rng, 40))) for i in range(50)], DOCS)
@@ -412,6 +465,20 @@ def test_op7_learns_sentences_from_document_labels(spark):
     assert [text[s["start"] : s["end"]].split()[-1] for s in out[0]["offending"]] == ["thing"]
 
 
+def test_op7_long_texts(spark):
+    """Documents of any length train, so long clean ones stay and one sentence in a long one is found."""
+    rng = random.Random(88)
+    say = lambda n: " ".join(" ".join(rng_words(rng, 8)) + "." for _ in range(n))
+    bad = lambda: f"you {rng.choice(['vilest', 'vilexa', 'badword'])} thing."
+    docs = [(i, say(5) if i % 4 else f"{say(3)} {bad()} {say(2)}") for i in range(500)] + [(1000 + i, say(700)) for i in range(30)] + [(1100 + i, f"{say(350)} {bad()} {say(350)}") for i in range(10)]
+    labels = [(i, 1, int(i % 4 == 0) if i < 500 else int(i >= 1100)) for i, _ in docs]
+    frame = spark.createDataFrame(docs, DOCS)
+    model = toxicity.fit(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    fresh = [(5000 + i, say(6000)) for i in range(6)] + [(6000 + i, f"{say(3000)} {bad()} {say(3000)}") for i in range(6)]
+    out = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(fresh, DOCS), model).collect()}
+    assert all(out[5000 + i] < 0.5 and out[6000 + i] >= 0.5 for i in range(6)), out
+
+
 def windows(item):
     w = words(item)
     return {tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9))} if w else set()

@@ -37,7 +37,8 @@ def sf_dir(spark, tmp_path_factory):
         base = docs[4 * i + 1][1].replace("\n", " ").split(" ")
         base[i % len(base)] = "changed"
         docs.append((1000 + i, " ".join(base)))
-    docs += [(2000, None), (2001, "")]
+    docs += [(1500 + i, docs[3 * i + 1][1]) for i in range(20)]  # copies that line dedup empties
+    docs += [(2000, None), (2001, ""), (2002, " \n ")]
     rows = [(i, t, "en", "s", len(t or "")) for i, t in docs]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
@@ -56,7 +57,8 @@ def drop_lines(docs):
     for i, t in docs.items():
         rows = (t or "").split("\n")
         kept = [x for x in rows if len(owners.get(key(x), ())) < 2 or min(owners[key(x)]) == i]
-        out[i] = t if len(kept) == len(rows) else "\n".join(kept)
+        if len(kept) == len(rows) or any(x.strip(linededup.BLANKS) for x in kept):
+            out[i] = t if len(kept) == len(rows) else "\n".join(kept)
     return out
 
 
@@ -84,6 +86,7 @@ def test_stages(spark, sf_dir):
     scores = {r["doc_id"]: r["score"] for r in toxicity.score(tables["documents"], model).collect()}
     docs = {r["doc_id"]: r["text"] for r in tables["documents"].collect() if scores[r["doc_id"]] < 0.5}
     assert not any(i % 5 == 0 for i in docs if i < 160) and sum(i < 160 for i in docs) == 128
+    assert len(drop_lines(docs)) <= len(docs) - 15
     docs = drop_copies(drop_lines(docs))
     bench = [w for r in tables["benchmark"].collect() for w in windows(r["text"])]
 
@@ -106,3 +109,21 @@ def test_stages_keep_the_columns(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf_dir).columns == docs.columns
+
+
+EXTRA = "doc_id long, text string, lang string, source string, n_chars long, score double, items string, n_words int, class_id string"
+
+
+@pytest.mark.parametrize("rows", ["odd", "empty"])
+def test_odd_and_empty_tables_pass_the_pipeline(spark, tmp_path, rows):
+    rest = ("en", "s", 1, 0.5, "x", 1, "y")
+    long = "plain words of a very long text. " * 5000
+    docs = [(None, "a row without an id", *rest), (1, None, *rest), (2, "", *rest), (3, long, *rest), (4, "same id", *rest), (4, "same id", *rest), (5, "é 😀", None, None, None, None, None, None, None)]
+    spark.createDataFrame(docs if rows == "odd" else [], EXTRA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(3, None, 0), (None, 1, 1), (4, 1, 0), (99, 1, 1)] if rows == "odd" else [], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (2, "")] if rows == "odd" else [], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = Counter(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect() if r["piece"] == 0)
+    assert found == (Counter({None: 1, 1: 1, 2: 1, 3: 1, 4: 2, 5: 1}) if rows == "odd" else Counter())
+    table = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, table, str(tmp_path)).columns == table.columns
