@@ -32,7 +32,7 @@ from loomgrid.llm.textcodes import Words, slices, words_in
 FEATURES = 1 << 18
 HEADS = (3, 4, 5)
 SAMPLE = 3000
-SAMPLE_CHARS = 24_000_000
+SAMPLE_CHARS = 8_000_000
 ROUNDS = 150
 STILL, GAIN = 10, 0.003
 #: Features of a block of documents that are summed at once.
@@ -76,15 +76,16 @@ def noisy_or(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return -np.expm1(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n))
 
 
-def _features_of(texts: pa.Array, common: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By slice of texts: each sentence's text, and pairs of a sentence and a feature (of the common ones, then by sentence)."""
+def _features_of(texts: pa.Array, column: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By slice of texts: each sentence's text, and pairs of a sentence and a feature (or, by sentence, the columns of those that have one)."""
     n_sentences = 0
     for low, high in slices(texts):
         words = words_in(texts.slice(low, high - low))
         sentence, doc = sentences(words)
         owner, feature = features(words, sentence)
-        if common is not None:
-            owner, feature = owner[common[feature]], feature[common[feature]]
+        if column is not None:
+            feature = column[feature]
+            owner, feature = owner[feature >= 0], feature[feature >= 0]
             order = np.argsort(owner, kind="stable")
             owner, feature = owner[order], feature[order]
         yield (doc + low).astype(np.int32), (owner + n_sentences).astype(np.int32), feature.astype(np.int32)
@@ -121,14 +122,14 @@ def train(texts: pa.Array, labels: np.ndarray, shares: tuple[float, float] = (1.
     if not n_sentences or len(set(labels.tolist())) < 2:
         model.bias = -60.0
         return model
-    doc, owner, feature = (np.concatenate(x) for x in zip(*_features_of(texts, counts >= LEAST), strict=True))
+    used = np.flatnonzero(counts >= LEAST)
+    at = np.full(FEATURES, -1, np.int32)
+    at[used] = np.arange(len(used))
+    doc, owner, column = (np.concatenate(x) for x in zip(*_features_of(texts, at), strict=True))
     n = len(texts)
     y = labels.astype(float)
     weight = np.where(labels == 1, shares[1], shares[0])
     weight = weight / weight.sum()
-    used = np.unique(feature)
-    column = np.searchsorted(used, feature).astype(np.int32)
-    del feature
     value, moment, square = np.zeros(len(used) + 1), np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     value[-1] = model.bias
     blocks = _blocks(doc, owner, n)
