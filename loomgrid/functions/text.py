@@ -75,6 +75,29 @@ def section_heading(line: Column) -> Column:
     return F.when(number.isNotNull() & ~title.rlike(MONTH_WORDS) & (F.length(title) >= 3), F.struct(number.alias("number"), title.alias("title")))
 
 
+#: Abbreviations of procedures (fixed values).
+ABBREVIATIONS = {
+    "ecg": "electrocardiogram", "ekg": "electrocardiogram", "bp": "blood pressure", "hr": "heart rate", "bmi": "body mass index", "cbc": "complete blood count", "cmp": "comprehensive metabolic panel",
+    "bmp": "basic metabolic panel", "ua": "urinalysis", "ct": "computed tomography", "mri": "magnetic resonance imaging", "pet": "positron emission tomography", "us": "ultrasound", "xr": "x-ray",
+    "pfts": "pulmonary function tests", "pft": "pulmonary function test", "lfts": "liver function tests", "lft": "liver function test", "hba1c": "hemoglobin a1c", "a1c": "hemoglobin a1c",
+    "inr": "international normalized ratio", "pt": "prothrombin time", "aptt": "activated partial thromboplastin time", "esr": "erythrocyte sedimentation rate", "crp": "c-reactive protein",
+    "gfr": "glomerular filtration rate", "egfr": "estimated glomerular filtration rate", "dexa": "dual-energy x-ray absorptiometry", "echo": "echocardiogram", "holter": "holter monitor", "aes": "adverse events",
+    "sae": "serious adverse event", "pk": "pharmacokinetic", "pd": "pharmacodynamic", "conmeds": "concomitant medications",
+}
+
+
+def expanded(name: Column) -> Column:
+    """A name in small letters, its words apart by one blank, abbreviations written out."""
+    words = F.filter(F.split(F.lower(name), "[^a-z0-9]+"), lambda w: w != "")
+    known = F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])
+    return F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(known, w), w)), " ")
+
+
+def word_set(text: Column) -> Column:
+    """The distinct words of more than one letter or digit, sorted."""
+    return F.array_sort(F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: F.length(w) > 1)))
+
+
 def parent_number(number: Column) -> Column:
     return F.when(F.contains(number, F.lit(".")), F.regexp_replace(number, r"\.[^.]+$", ""))
 

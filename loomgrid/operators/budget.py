@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.functions.grid import mark, unit_cost
+from loomgrid.functions.grid import compound_terms, is_not_procedure, mark, unit_cost
 
 #: Mean confidence by mark, and defaults of cycles.
 MARK_CONFIDENCE = {"firm": 0.95, "conditional": 0.7, "span": 0.85}
@@ -36,6 +36,46 @@ def budget_lines(cells: DataFrame, by: list[str]) -> DataFrame:
     return lines.where("total_occurrences > 0")
 
 
+def procedure_lines(cells: DataFrame, names: DataFrame, notes: DataFrame, cycles: DataFrame, patterns: list[str] | None = None) -> DataFrame:
+    """A budget line for each procedure of each named row of each document.
+
+    cells: doc_id, row_ix, col_ix, visit, raw_value, confidence; names: doc_id, row_ix, name; notes: doc_id, row_ix, col_ix,
+    kind, text, pos; cycles: doc_id, shown, expected. A marked cell is conditional by its text or its note, of modified
+    frequency by its note, and else firm. A span counts its occurrences, and one that names none is one visit from the first
+    to the last such column. If more cycles are expected than shown, firm and conditional occurrences are multiplied and
+    rounded down; those of modified frequency are not. A row that names several procedures makes a line for each; names that
+    are no procedure make none. The mean confidence is of all cells beside the first column, 0.5 without any.
+    """
+    place = ["doc_id", "row_ix", "col_ix"]
+    noted = notes.groupBy(*place).agg(F.max_by("kind", "pos").alias("note_kind"), F.max_by("text", "pos").alias("note_text"))
+    rows = cells.where("col_ix > 0").join(noted, place, "left").withColumn("m", mark(F.col("raw_value")))
+    kind = F.col("m.mark_type")
+    conditional = (kind == "conditional") | ((kind == "firm") & (F.col("note_kind") == "CONDITIONAL"))
+    modified = (kind == "firm") & (F.col("note_kind") == "FREQUENCY_MODIFIER")
+    endless = (kind == "span") & F.col("m.occurrences").isNull()
+    firm = (kind == "firm") & ~F.coalesce(F.col("note_kind").isin("CONDITIONAL", "FREQUENCY_MODIFIER"), F.lit(False)) | ((kind == "span") & ~endless)
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    lines = rows.groupBy("doc_id", "row_ix").agg(
+        (F.sum(F.when(yes(firm), F.col("m.occurrences")).otherwise(0)) + F.max(endless.cast("int"))).alias("n_firm"),
+        F.count_if(yes(conditional)).alias("n_conditional"),
+        F.count_if(yes(modified)).alias("n_modified"),
+        F.array_sort(F.collect_set(F.when(yes(modified), F.col("note_text")))).alias("modifier_notes"),
+        F.min_by("visit", F.when(endless, F.col("col_ix"))).alias("from"),
+        F.max_by("visit", F.when(endless, F.col("col_ix"))).alias("to"),
+        F.coalesce(F.avg("confidence"), F.lit(0.5)).alias("avg_confidence"),
+    )
+    factor = F.when(F.col("shown") > 0, F.col("expected") / F.col("shown"))
+    joined = lines.where("n_firm + n_conditional + n_modified > 0").join(cycles.select("doc_id", factor.alias("factor")), "doc_id", "left")
+    base = F.col("n_firm") + F.col("n_conditional")
+    multiplied = F.when(F.col("factor") > 1, F.floor(base * F.col("factor"))).otherwise(base)
+    named = joined.join(names, ["doc_id", "row_ix"]).where(~is_not_procedure(F.col("name"), patterns or []))
+    each = named.withColumn("total_occurrences", multiplied + F.col("n_modified")).withColumn("procedure", F.explode(compound_terms(F.col("name"))))
+    return each.where(~is_not_procedure(F.col("procedure"), patterns or [])).select(
+        "doc_id", "row_ix", "procedure", "n_firm", "n_conditional", "n_modified", "total_occurrences", F.greatest(F.coalesce("factor", F.lit(1.0)), F.lit(1.0)).alias("cycle_multiplier"),
+        F.array_join(F.slice("modifier_notes", 1, 2), "; ").alias("modifier_notes"), F.when(F.col("from").isNotNull(), F.concat("from", F.lit("→"), "to", F.lit(" (continuous)"))).alias("span"), "avg_confidence",
+    )
+
+
 def merge_lines(lines: DataFrame, by: list[str]) -> DataFrame:
     """Lines of several tables as one: visits united, the greatest total, and the fields of the first table's line."""
     return lines.groupBy(*by).agg(

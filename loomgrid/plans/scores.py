@@ -156,3 +156,41 @@ def d30_names_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = nation.select("n_nationkey", F.concat("n_name", F.when(k == 0, "_v2.pdf").when(k == 1, " (final).PDF").otherwise("")).alias("file"))
     found = measures.named_like(files, "file", nation.select(F.col("n_nationkey").alias("doc_id"), F.col("n_name").alias("name")))
     return found.groupBy("n_nationkey").agg(F.max(F.length("key")).alias("n_letters"), F.count("*").alias("n"))
+
+
+_RAW = "CASE WHEN raw_value = 'X' THEN 'X' WHEN raw_value = 'Xa' THEN 'as needed' WHEN part % 7 = 0 THEN '↔' WHEN part % 7 < 3 THEN 'X' ELSE '' END"
+
+
+@query(f"""{WITH_CELLS}, c AS (SELECT doc_id, row_ix, col_ix, 'V' || col_ix AS visit, {_RAW} AS raw, 1 - disc AS confidence, CASE WHEN part % 5 = 0 THEN ['CONDITIONAL', 'FREQUENCY_MODIFIER', 'OTHER'][supp % 3 + 1] END AS note_kind, 'note ' || (supp % 4) AS note FROM cells),
+k AS (SELECT *, CASE raw WHEN '↔' THEN 'endless' WHEN 'as needed' THEN 'conditional' WHEN 'X' THEN CASE note_kind WHEN 'CONDITIONAL' THEN 'conditional' WHEN 'FREQUENCY_MODIFIER' THEN 'modified' ELSE 'firm' END ELSE 'empty' END AS kind FROM c),
+l AS (SELECT doc_id, row_ix, count(*) FILTER (kind = 'firm') + max((kind = 'endless')::INT) AS n_firm, count(*) FILTER (kind = 'conditional') AS n_conditional, count(*) FILTER (kind = 'modified') AS n_modified,
+    array_to_string((list_sort(list_distinct(coalesce(list(note) FILTER (kind = 'modified'), []))))[1:2], '; ') AS modifier_notes, arg_min(visit, col_ix) FILTER (kind = 'endless') || '→' || arg_max(visit, col_ix) FILTER (kind = 'endless') || ' (continuous)' AS span, avg(confidence) AS avg_confidence FROM k GROUP BY 1, 2),
+n AS (SELECT *, CASE WHEN doc_id % 3 = 1 THEN 2.0 WHEN doc_id % 3 = 2 THEN 1.5 ELSE 1.0 END AS f, CASE (doc_id + row_ix) % 4 WHEN 0 THEN ['ICF', 'demographics', 'vital signs'] WHEN 1 THEN ['ECG'] WHEN 3 THEN ['Blood draw'] ELSE [] END AS procedures FROM l WHERE n_firm + n_conditional + n_modified > 0)
+SELECT doc_id, row_ix, unnest(procedures) AS procedure, n_firm::BIGINT AS n_firm, n_conditional, n_modified, (floor((n_firm + n_conditional) * f) + n_modified)::BIGINT AS total_occurrences, f::DOUBLE AS cycle_multiplier, modifier_notes, span, round(avg_confidence, 6)::DOUBLE AS avg_confidence FROM n""")
+def e1_procedure_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Budget lines of rows: firm, conditional and modified visits, cycles, spans without an end, and rows of several procedures."""
+    from loomgrid.operators.budget import procedure_lines
+
+    part, supp = F.col("part"), F.col("supp")
+    raw = F.when(F.col("raw_value") == "X", "X").when(F.col("raw_value") == "Xa", "as needed").when(part % 7 == 0, "↔").when(part % 7 < 3, "X").otherwise("")
+    rows = cells(spark, sf_dir).withColumns({"visit": F.concat(F.lit("V"), F.col("col_ix").cast("string")), "confidence": 1 - F.col("disc"), "raw_value": raw})
+    kinds = F.element_at(F.array(F.lit("CONDITIONAL"), F.lit("FREQUENCY_MODIFIER"), F.lit("OTHER")), (supp % 3 + 1).cast("int"))
+    notes = rows.where(part % 5 == 0).select("doc_id", "row_ix", "col_ix", kinds.alias("kind"), F.concat(F.lit("note "), (supp % 4).cast("string")).alias("text"), F.lit(1).alias("pos"))
+    k = (F.col("doc_id") + F.col("row_ix")) % 4
+    name = F.when(k == 0, "ICF, demographics, vital signs").when(k == 1, "ECG").when(k == 2, "visit").otherwise("Blood draw")
+    names = rows.select("doc_id", "row_ix").distinct().withColumn("name", name)
+    cycles = rows.select("doc_id").distinct().select("doc_id", F.lit(2).alias("shown"), F.when(F.col("doc_id") % 3 == 1, 4).when(F.col("doc_id") % 3 == 2, 3).otherwise(2).alias("expected"))
+    return procedure_lines(rows, names, notes, cycles).withColumn("avg_confidence", F.round("avg_confidence", 6))
+
+
+@query("""WITH n AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'ECG, 12-lead' WHEN 1 THEN 'BP / CRP' WHEN 2 THEN 'MRI of BP' WHEN 3 THEN 'Becgx' ELSE p_name END AS name FROM part),
+e AS (SELECT p_partkey, array_to_string(list_transform(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: CASE w WHEN 'ecg' THEN 'electrocardiogram' WHEN 'bp' THEN 'blood pressure' WHEN 'mri' THEN 'magnetic resonance imaging' WHEN 'crp' THEN 'c-reactive protein' ELSE w END), ' ') AS x FROM n)
+SELECT p_partkey, x AS expanded, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(x, '[^a-z0-9]+'), lambda w: length(w) > 1))), ' ') AS words FROM e""")
+def i3_expanded_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with their abbreviations written out, and their distinct words of more than one letter."""
+    from loomgrid.functions.text import expanded, word_set
+
+    k = F.col("p_partkey") % 5
+    name = F.when(k == 0, "ECG, 12-lead").when(k == 1, "BP / CRP").when(k == 2, "MRI of BP").when(k == 3, "Becgx").otherwise(F.col("p_name"))
+    whole = table(spark, sf_dir, "part").select("p_partkey", expanded(name).alias("expanded"))
+    return whole.select("p_partkey", "expanded", F.array_join(word_set(F.col("expanded")), " ").alias("words"))

@@ -131,15 +131,15 @@ def e33_section_list_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {LINES}, s AS (SELECT doc_id, i, length(line) AS n, (contains(lower(line), 'the')::INT + contains(lower(line), 'and')::INT + contains(lower(line), 'der')::INT) AS score FROM lines),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) AS rn FROM s WHERE score > 0), c AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY rn) AS so_far FROM r WHERE rn <= 5)
-SELECT doc_id, i, score, rn::INT AS rank FROM c WHERE so_far <= 800""")
+SELECT doc_id, i, score, rn::INT AS rank FROM c WHERE so_far <= 8000""")
 def g2_best_sections_in_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Top five passages of each document by keyword score, while they fit 800 characters: the limits are the feature."""
+    """Top five passages of each document by keyword score, while they fit 8,000 characters: the limits are the feature."""
     low = F.lower("line")
     score = sum((F.contains(low, F.lit(w)).cast("int") for w in ("the", "and", "der")), F.lit(0))
     w = Window.partitionBy("doc_id").orderBy(F.desc("score"), "i")
     ranked = lines(spark, sf_dir).select("doc_id", "i", F.length("line").alias("n"), score.alias("score")).where("score > 0").withColumn("rank", F.row_number().over(w)).where("rank <= 5")
     so_far = F.sum("n").over(Window.partitionBy("doc_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn("so_far", so_far).where("so_far <= 800").select("doc_id", "i", "score", "rank")
+    return ranked.withColumn("so_far", so_far).where("so_far <= 8000").select("doc_id", "i", "score", "rank")
 
 
 @query(f"""WITH {LINES}, p AS (SELECT doc_id, i // 5 AS page, i % 5 AS place, lower(trim(line)) AS f FROM lines), z AS (SELECT doc_id, page, regexp_replace(f, '[0-9]+$', '') AS f FROM p WHERE place IN (0, 4) AND f <> '')
