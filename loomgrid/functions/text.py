@@ -17,10 +17,36 @@ MONTHS = "January|February|March|April|May|June|July|August|September|October|No
 MONTH_WORDS = r"(?i)^(january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sep|oct|nov|dec)(\s|$)"
 MATH = "=±×÷√∑∏∫≤≥≠≈∈∞αβγδεζηθλμσφχψω²³⁻¹"
 EQUATION_SIGNS = [r"[=≈≤≥]", r"[±√∑∏∫]", r"[αβγδσμ]", r"\^[0-9{]", r"_[0-9{]", r"\\frac", r"\bexp\b", r"\blog\b", r"\bln\b", r"[²³⁻¹⁺]", r"\bCI\s*=", r"\bn\s*=", r"\bHR\s*=", r"\bp\s*[<>=]", r"Z[_α]"]
+#: Words that speak for a domain, in the order that decides between domains of as many (fixed values).
 DOMAINS = {
-    "oncology": ["tumor", "cancer", "recist", "progression", "metastatic"], "vaccines": ["vaccine", "immunogenicity", "seroconversion", "adjuvant"], "cardiology": ["cardiac", "heart", "hypertension"],
-    "neurology": ["seizure", "cognitive", "dementia"], "general": [],
+    "oncology": [
+        "tumor", "tumour", "RECIST", "cycle", "C1D1", "chemotherapy", "immunotherapy", "progression", "response assessment", "ECOG", "dose escalation", "DLT", "MTD", "ORR", "PFS", "OS", "nivolumab", "pembrolizumab",
+        "atezolizumab", "durvalumab", "biopsy", "ctDNA", "PD-L1",
+    ],
+    "hematology": ["bone marrow", "CAR-T", "leukapheresis", "lymphodepletion", "CRS", "cytokine release", "engraftment", "MRD", "venetoclax", "ramp-up", "TLS", "tumor lysis"],
+    "vaccines": ["vaccination", "immunogenicity", "seroconversion", "GMT", "antibody titer", "reactogenicity", "e-diary", "booster", "adjuvant", "antigen", "dose 1", "dose 2"],
+    "cardiology": ["echocardiogram", "LVEF", "NT-proBNP", "BNP", "6MWD", "KCCQ", "NYHA", "heart failure", "ejection fraction", "MACE", "cardiovascular"],
+    "autoimmune": ["DAS28", "ACR20", "CDAI", "SDAI", "HAQ-DI", "PASI", "IGA", "EASI", "endoscopy", "Mayo score", "calprotectin", "rheumatoid", "psoriasis", "colitis"],
+    "pk_intensive": ["pre-dose", "post-dose", "Cmax", "AUC", "trough", "dense PK", "sparse PK", "dose escalation", "0.5h", "1h", "2h", "4h", "8h", "12h", "24h", "sentinel", "cohort", "MAD", "SAD"],
+    "respiratory": ["FEV1", "spirometry", "FeNO", "eosinophil", "asthma", "COPD", "exacerbation", "SGRQ", "ACQ"],
+    "infectious_disease": ["viral load", "CD4", "HIV", "HBV", "HCV", "hepatitis", "seroconversion", "antiretroviral", "PrEP"],
+    "dermatology": ["PASI", "IGA", "EASI", "BSA", "pruritus", "NRS", "atopic", "psoriasis", "eczema"],
+    "ophthalmology": ["BCVA", "OCT", "intravitreal", "macular", "retinal", "IOP", "fundoscopy", "aflibercept", "ranibizumab"],
 }
+#: Words of rows that belong to a schedule of drug levels, of all domains' profiles (fixed values).
+LEVEL_WORDS = [
+    "PK sample", "Pharmacokinetic", "Ctrough", "Cmax", "AUC", "Pre-dose", "Post-dose", "trough", "sparse PK", "dense PK", "Immunogenicity sample", "ADA", "Anti-drug antibody", "Immunogenicity", "Antibody titer",
+    "Seroconversion", "GMT", "Geometric mean titer", "Fold-rise", "Neutralizing antibody", "Binding antibody", "PK", "Tmax", "t1/2", "Dense sampling", "Sparse sampling", "0h", "0.5h", "1h", "2h", "4h", "8h", "12h", "24h",
+    "Urine collection", "Drug level", "Trough concentration",
+]
+
+
+def is_level_row(name: Column) -> Column:
+    """Whether a row's name has a word of drug level schedules."""
+    low, hit = F.lower(name), F.lit(False)
+    for w in LEVEL_WORDS:
+        hit = hit | F.contains(low, F.lit(w.lower()))
+    return hit
 
 
 def line_style(line: Column) -> Column:
@@ -216,7 +242,7 @@ def salvage_json(text: Column) -> Column:
 def domain_of(text: Column) -> Column:
     """The domain with the most keyword hits; the first listed of equal ones, general without any."""
     low = F.lower(text)
-    scored = [F.struct(sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0)).alias("n"), F.lit(-i).alias("i"), F.lit(name).alias("name")) for i, (name, words) in enumerate(DOMAINS.items())]
+    scored = [F.struct(sum((F.contains(low, F.lit(w.lower())).cast("int") for w in words), F.lit(0)).alias("n"), F.lit(-i).alias("i"), F.lit(name).alias("name")) for i, (name, words) in enumerate(DOMAINS.items())]
     best = F.array_max(F.array(*scored))
     return F.when(best["n"] > 0, best["name"]).otherwise("general")
 

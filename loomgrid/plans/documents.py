@@ -206,3 +206,24 @@ def i13_markers_in_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = grid.without_markers(raw)
     cased = F.when(k == 1, F.regexp_replace(value["value"], "assessment$", "Assessment")).when(k == 3, F.initcap(value["value"])).otherwise(value["value"])
     return table(spark, sf_dir, "part").select("p_partkey", cased.alias("name"), F.array_join(value["markers"], ",").alias("markers"))
+
+
+_SAID = ["RECIST and biopsy", "CAR-T, MRD", "Booster dose 2", "NYHA class", "colitis endoscopy", "Cmax at 24h", "asthma", "HIV viral load", "eczema PASI", "retinal OCT", "seroconversion", "nothing"]
+_HITS = ", ".join(f"{{'n': len(list_filter([{', '.join(chr(39) + w.lower() + chr(39) for w in words)}], lambda w: contains(low, w))), 'i': {-i}, 'd': '{name}'}}" for i, (name, words) in enumerate(text.DOMAINS.items()))
+
+
+@query("""WITH t AS (SELECT doc_id, lower(left(text, 200) || ' ' || CASE doc_id % 12 """ + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_SAID)) + f""" END) AS low FROM documents), s AS (SELECT doc_id, list_max([{_HITS}]) AS m FROM t)
+SELECT doc_id, CASE WHEN m.n > 0 THEN m.d ELSE 'general' END AS domain FROM s""")
+def e31_domain_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by the domain with the most words in their text."""
+    said = F.element_at(F.array(*[F.lit(x) for x in _SAID]), (F.col("doc_id") % 12 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.domain_of(F.concat(F.left("text", F.lit(200)), F.lit(" "), said)).alias("domain"))
+
+
+@query("""WITH n AS (SELECT p_partkey, p_name || CASE p_partkey % 6 WHEN 0 THEN ' Cmax' WHEN 1 THEN ' at 12H' WHEN 2 THEN ' urine collection' WHEN 3 THEN ' visit' ELSE '' END AS name FROM part)
+SELECT p_partkey FROM n WHERE len(list_filter([""" + ", ".join(f"'{w.lower()}'" for w in text.LEVEL_WORDS) + """], lambda w: contains(lower(name), w))) > 0""")
+def p24_level_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of schedules of drug levels."""
+    k = F.col("p_partkey") % 6
+    name = F.concat("p_name", F.when(k == 0, " Cmax").when(k == 1, " at 12H").when(k == 2, " urine collection").when(k == 3, " visit").otherwise(""))
+    return table(spark, sf_dir, "part").where(text.is_level_row(name)).select("p_partkey")

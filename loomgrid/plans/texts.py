@@ -208,13 +208,6 @@ def c15_equation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(k.alias("k"), line.alias("line")).agg(F.count("*").alias("n")).withColumn("is_equation", text.looks_like_equation(F.col("line")))
 
 
-@query("""SELECT p_partkey, CASE p_type WHEN 'PROMO' THEN 'oncology' WHEN 'SMALL' THEN 'vaccines' WHEN 'LARGE' THEN 'cardiology' ELSE 'general' END AS domain FROM part""")
-def e31_domain_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("p_type")
-    words = F.when(t == "PROMO", "Tumor response by RECIST, cardiac safety").when(t == "SMALL", "An adjuvant Vaccine").when(t == "LARGE", "heart rate and seizure").otherwise("something else")
-    return table(spark, sf_dir, "part").select("p_partkey", text.domain_of(words).alias("domain"))
-
-
 @query(f"""WITH {LINES}, n AS (SELECT doc_id, i, line, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS following FROM lines WHERE i < 60)
 SELECT doc_id, arg_min(regexp_extract(line, '([0-9]{{2,}})', 1), i) FILTER (regexp_matches(line, '[0-9]{{2,}}')) AS code, arg_min(following, i) FILTER (line LIKE '- %' AND following IS NOT NULL) AS title FROM n GROUP BY 1""")
 def a26_cover_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
