@@ -69,12 +69,10 @@ def p18_schema_cross_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p20_template_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each source's mean length and set of values against those of a template source, which is one row."""
     profiles = table(spark, sf_dir, "documents").groupBy("source").agg(F.avg("n_chars").alias("a"), F.collect_set("lang").alias("langs"))
-    one = profiles.where("source = 'src0'").first()
-    if one is None:
-        return profiles.select("source", F.lit(None).cast("double").alias("ratio"), F.lit(None).cast("boolean").alias("differs"), F.lit(None).cast("double").alias("font_match"))
-    langs = F.array(*[F.lit(x) for x in one["langs"]])
-    ratio = F.col("a") / one["a"]
-    return profiles.select("source", F.round(ratio, 6).alias("ratio"), (~ratio.between(0.7, 1.3)).alias("differs"), F.round(F.size(F.array_intersect("langs", langs)) / len(one["langs"]), 6).alias("font_match"))
+    one = profiles.where("source = 'src0'").select(F.col("a").alias("own"), F.col("langs").alias("own_langs"), F.lit(1).alias("k"))
+    joined = profiles.withColumn("k", F.lit(1)).join(F.broadcast(one), "k", "left")  # one row
+    ratio = F.col("a") / F.col("own")
+    return joined.select("source", F.round(ratio, 6).alias("ratio"), (~ratio.between(0.7, 1.3)).alias("differs"), F.round(F.size(F.array_intersect("langs", "own_langs")) / F.size("own_langs"), 6).alias("font_match"))
 
 
 @query(f"""{WITH_PASSES}, t AS (SELECT doc_id, string_agg(row_ix || ':' || col_ix || ':' || raw_value, ';' ORDER BY row_ix, col_ix) AS s FROM p1 GROUP BY 1), f AS (SELECT doc_id, string_agg(row_ix || ':' || col_ix || ':' || raw_value, ';' ORDER BY row_ix, col_ix) AS s FROM p2 GROUP BY 1)
