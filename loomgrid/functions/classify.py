@@ -140,6 +140,14 @@ def arm_type(text: Column) -> Column:
     return F.when(low.contains("placebo"), "placebo").when(low.contains("control"), "control").when(low.contains("comparator"), "comparator").otherwise("experimental")
 
 
+#: Categories whose procedures are effort without a unit of their own (fixed values).
+EFFORT = ["Administrative", "Safety", "PRO"]
+
+
+def is_effort(category: Column) -> Column:
+    return F.coalesce(category.isin(*EFFORT), F.lit(False))
+
+
 def cost_tier(text: Column) -> Column:
     low = F.lower(text)
     return F.when(low.rlike("imaging|scan|mri|treatment|infusion|administration") & ~(low.contains("lab") & ~low.rlike("imaging|scan|mri")), "HIGH").when(low.contains("lab"), "MEDIUM").otherwise("LOW")

@@ -194,3 +194,12 @@ def i3_expanded_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(k == 0, "ECG, 12-lead").when(k == 1, "BP / CRP").when(k == 2, "MRI of BP").when(k == 3, "Becgx").otherwise(F.col("p_name"))
     whole = table(spark, sf_dir, "part").select("p_partkey", expanded(name).alias("expanded"))
     return whole.select("p_partkey", "expanded", F.array_join(word_set(F.col("expanded")), " ").alias("words"))
+
+
+@query("""SELECT category, count(*) AS n, coalesce(category IN ('Administrative', 'Safety', 'PRO'), false) AS effort FROM (SELECT CASE p_partkey % 6 WHEN 0 THEN 'Administrative' WHEN 1 THEN 'Safety' WHEN 2 THEN 'PRO' WHEN 3 THEN p_type WHEN 4 THEN 'safety' END AS category FROM part) GROUP BY 1""")
+def c17_effort_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgrid.functions.classify import is_effort
+
+    k = F.col("p_partkey") % 6
+    category = F.when(k == 0, "Administrative").when(k == 1, "Safety").when(k == 2, "PRO").when(k == 3, F.col("p_type")).when(k == 4, "safety")
+    return table(spark, sf_dir, "part").groupBy(category.alias("category")).agg(F.count("*").alias("n")).withColumn("effort", is_effort(F.col("category")))
