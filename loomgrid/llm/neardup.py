@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.llm._shared import partitions_for, staged
+from loomgrid.llm._shared import lean, partitions_for, staged
 from loomgrid.llm.mphf import mix
 from loomgrid.llm.textcodes import numbered, shingles, slices, words_in
 
@@ -89,6 +89,7 @@ def place(shingle: np.ndarray, row: int) -> np.ndarray:
         return ((shingle * _SEEDS[row]) >> np.uint64(48)).astype(np.int64)
 
 
+@lean
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros((DEPTH, WIDTH), np.int64)
     documents = 0
@@ -275,6 +276,7 @@ def _members(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
 def _sign(shared):
     """Members (key set) for the bands, pairs (lead set) of equal texts within the task, and a sketch of each other text."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
@@ -309,6 +311,7 @@ def _sign(shared):
     return run
 
 
+@lean
 def _meet_by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Members ordered by key and id: pairs with leaders (lead set), and the members that met (key set). Only the leaders of a key that goes on are kept."""
     kept: tuple[np.ndarray, ...] | None = None
@@ -374,6 +377,7 @@ def _meetings(batches: Iterator[pa.RecordBatch], columns) -> Iterator[tuple[np.n
 def _hopeful(threshold: float):
     """Members with class and sketch, ordered by key: key, id and class of those that may be a link with a member of another class. Of equal texts one stands for all."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = lambda b: (*_members(b), b.column(0).to_numpy(), b.column(4).to_numpy(), _bytes(b.column(5), np.uint8))
         for ids, prints, short, keys, classes, sketch in _meetings(batches, columns):
@@ -444,6 +448,7 @@ def exact_links(classes: np.ndarray, doc: np.ndarray, element: np.ndarray, weigh
 def _join_meetings(shared, threshold: float):
     """key, id, class and text, ordered by key: a, b, weighted and unweighted similarity of links that join classes."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def columns(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
             text, parts = batch.column(3), []
@@ -522,6 +527,7 @@ def jaccard(left: pa.Array, right: pa.Array, weights: Weights) -> np.ndarray:
 
 
 def _verify(shared, threshold: float):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high in slices(batch.column(2), 1 << 20):

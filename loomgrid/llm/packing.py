@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.llm._shared import staged
+from loomgrid.llm._shared import lean, staged
 from loomgrid.llm.textcodes import slices
 from loomgrid.llm.tokens import encoder
 
@@ -69,6 +69,7 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def _tokenise(path: str, capacity: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -98,6 +99,7 @@ def _tokenise(path: str, capacity: int):
                             yield flush()
         if held:
             yield flush()
+        encoder(path).clear()  # its texts' pieces go with the task; the tokenizer stays
 
     return run
 

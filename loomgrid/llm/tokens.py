@@ -4,7 +4,7 @@ For tokenizers that drop white space, lower the case, split letters from other c
 public 49k word BPE does. A text is cut at ASCII white space, and between letters and other characters where both are
 plain: ASCII, and the Latin letters U+00C0 to U+027F but U+0130. A chunk with an apostrophe (contractions), with any other character
 beyond ASCII, or with `<|` (special tokens) is one piece. A piece is tokenised when it is first met; a worker keeps up
-to half as many pieces as there are slots and then starts anew. Pieces are looked up in parts of a quarter of the slots,
+to half as many pieces as there are slots and then starts anew. Whoever is done clears it, as it holds tens of MB. Pieces are looked up in parts of a quarter of the slots,
 so a part always finds room, however many different pieces a text has. Positions, hashes and the ids' assembly are
 whole-array operations.
 """

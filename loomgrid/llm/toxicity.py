@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgrid.llm._shared import fold_of, staged
+from loomgrid.llm._shared import fold_of, lean, staged
 from loomgrid.llm.textcodes import Words, slices, words_in
 
 FEATURES = 1 << 18
@@ -182,6 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = S
 
 
 def _score(shared, schema: pa.Schema, at: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         for batch in batches:

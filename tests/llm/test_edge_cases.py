@@ -104,3 +104,19 @@ def test_top_k(spark):
     rows = [(0, [1.0, 2.0], "s", 1, 1, 1), (0, [1.0, 2.0], "s", 1, 1, 1), (None, [1.0, 1.0], "s", 1, 1, 1), (2, None, "s", 1, 1, 1), (3, [1.0, None], "s", 1, 1, 1), (4, [], "s", 1, 1, 1)]
     got = topk.top_k(spark.createDataFrame(rows, schema), F.col("vec_id") % 50 == 0).collect()
     assert [tuple(r) for r in got] == [(0, 1, 4, 0)]
+
+
+def test_workers_give_memory_back_after_a_task(monkeypatch):
+    """A worker stays for later stages, so what it keeps after a task counts there as well."""
+    import pyarrow as pa
+    import pyspark
+
+    from loomgrid.llm import _shared, tokens
+
+    given = []
+    monkeypatch.setattr(_shared, "give_back", lambda: given.append(1), raising=False)
+    monkeypatch.setattr(pyspark.TaskContext, "get", classmethod(lambda cls: cls))
+    monkeypatch.setattr(pyspark.TaskContext, "partitionId", classmethod(lambda cls: 0), raising=False)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["some words here", "more words"])], names=["doc_id", "text"])
+    assert sum(b.num_rows for b in packing._tokenise(tokenizer_path(), 2048)(iter([batch]))) == 2
+    assert tokens.encoder(tokenizer_path()).size == 0 and given == [1]
